@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, counts, exact, packing, simhash
+from . import bpe, chat, counts, exact, neighbours, packing, simhash, urls
 from .common import table
 
 #: Where the public vocabulary files are; a parameter of every operator that needs one.
@@ -17,6 +17,16 @@ BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
 WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
 
 
+#: The explicit URL rules of the query.
+URL_RULES = [
+    urls.Rule.of("block", "com/en/"),
+    urls.Rule.of("allow", "example.com/en/7"),
+    urls.Rule.of("block", "net/de/"),
+    urls.Rule.of("allow", "example.net/de/8"),
+    urls.Rule.of("block", "org/es/"),
+]
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash.as_hex("fp").alias("fingerprint"), "component_id")
@@ -36,6 +46,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest_chats(rows.unionByName(chat.probe(rows)))
 
 
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), URL_RULES)
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.encode(table(spark, sf_dir, "documents"), WORD_BPE)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
@@ -45,13 +59,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.deduplicate(table(spark, sf_dir, "documents"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_packing": op2_packing,
     "op4_token_counts": op4_token_counts,
     "op5_chat_format": op5_chat_format,
+    "op6_url_filter": op6_url_filter,
     "op8_bpe": op8_bpe,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_neighbours": op10_neighbours,
 }
 
 ORACLE: dict[str, str] = {

@@ -165,3 +165,12 @@ def _told_apart(rows: DataFrame, recipes: DataFrame, collided: DataFrame, digest
         .agg(F.array_sort(F.collect_list("x")).cast("string").alias("which"))
     )
     return recipes.join(told, ["id", "sha"], "left").withColumn("which", F.coalesce("which", F.lit("")))
+
+
+def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay when equal texts are reduced to the row with the largest id."""
+    kept = deduplicate(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__sha"))
+    lower = F.translate(F.coalesce(F.col(text_col), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__key"), F.sha2(lower.cast("binary"), 256).alias("__of"))
+    same = F.col("__key").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__sha"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["__key", "__of"]).select("__row.*")

@@ -11,6 +11,7 @@ distance 1 meets in the cell of the upper one. Pairs that meet are tested exactl
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -100,16 +101,15 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
 
 
 def _cells(fps: DataFrame) -> DataFrame:
-    """``cell``, ``visit`` (0 in the own cell, 1 a step up), ``fp``: where each fingerprint goes."""
+    """``cell``, ``visit`` (0 in the own cell, 1 a step up) and the columns of ``fps``, of which ``k`` tells grids apart."""
     half = "CAST(CASE side WHEN 0 THEN fp & 4294967295L ELSE shiftrightunsigned(fp, 32) END AS BIGINT)"
-    sides = fps.select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
-    at = sides.selectExpr("fp", "side", f"{half} AS h").selectExpr(
-        "fp", "(h - (shiftrightunsigned(h, 1) & 1431655765L)) + shiftleft(CAST(side AS BIGINT), 32) AS own"
+    sides = fps.select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("side"))
+    at = sides.withColumn("h", F.expr(half)).withColumn(
+        "own", F.expr("(h - (shiftrightunsigned(h, 1) & 1431655765L)) + shiftleft(CAST(2 * k + side AS BIGINT), 32)")
     )
     up = "filter(transform(sequence(0, 15), j -> CASE WHEN (shiftrightunsigned(own, 2 * j) & 3L) < 2 THEN own + shiftleft(1L, 2 * j) END), x -> x IS NOT NULL)"
-    return at.selectExpr("fp", "own", f"explode(concat(array(own), {up})) AS cell").selectExpr(
-        "cell", "CAST(cell <> own AS TINYINT) AS visit", "fp"
-    )
+    spread = at.withColumn("cell", F.expr(f"explode(concat(array(own), {up}))"))
+    return spread.selectExpr("cell", "CAST(cell <> own AS TINYINT) AS visit", *(c for c in fps.columns if c != "k"))
 
 
 def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -131,42 +131,86 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.nda
     return a, b
 
 
-def _met(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links between fingerprints that meet in a cell; the rows come in the order of the cells."""
-
-    def links(cell: np.ndarray, visit: np.ndarray, fp: np.ndarray) -> pa.RecordBatch | None:
-        new = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1 if len(cell) else 0))
-        size = np.diff(np.append(new, len(cell)))
-        settled = visit[new] == 0  # sorted by visit: a cell where nobody settles starts with a visitor
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        two = new[settled & (size == 2)]
-        if len(two):
-            near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-            a.append(fp[two[near]])
-            b.append(fp[two[near] + 1])
-        for start, n in zip(new[settled & (size > 2)].tolist(), size[settled & (size > 2)].tolist()):
-            x, y = _forest(np.unique(fp[start : start + n]), radius)
-            a += x
-            b += y
-        if not a:
-            return None
-        u, v = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"]) if len(u) else None
-
-    kept: list[np.ndarray] = [np.empty(0, np.int64), np.empty(0, np.int8), np.empty(0, np.uint64)]
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """Columns of whole cells, in turn: rows come in the order of the first column."""
+    kept: list[np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        got = [batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)]
-        kept = [np.concatenate(x) for x in zip(kept, got)]
+        got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        kept = got if kept is None else [np.concatenate(x) for x in zip(kept, got)]
         cut = int(np.searchsorted(kept[0], kept[0][-1]))  # the last cell may go on in the next batch
         if cut:
-            if (out := links(*(x[:cut] for x in kept))) is not None:
-                yield out
+            yield [x[:cut] for x in kept]
             kept = [x[cut:] for x in kept]
-    if len(kept[0]) and (out := links(*kept)) is not None:
-        yield out
+    if kept is not None and len(kept[0]):
+        yield kept
+
+
+def _settled(cell: np.ndarray, visit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the cells where someone settles and someone else comes; rows are sorted by visit."""
+    new = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1))
+    size = np.diff(np.append(new, len(cell)))
+    fine = (visit[new] == 0) & (size > 1)
+    return new[fine], size[fine]
+
+
+def _met(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links between fingerprints that meet in a cell."""
+    for cell, visit, fp in _runs(batches):
+        fp = fp.view(np.uint64)
+        start, size = _settled(cell, visit)
+        two = start[size == 2]
+        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
+        a, b = [fp[two[near]]], [fp[two[near] + 1]]
+        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            x, y = _forest(np.unique(fp[at : at + n]), radius)
+            a += x
+            b += y
+        u, v = np.concatenate(a).view(np.int64), np.concatenate(b).view(np.int64)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
+def _met_ids(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of ids (the smaller first) whose fingerprints meet in a cell within ``radius``.
+
+    Ids of one fingerprint are paired with the smallest of them, which stands for the fingerprint.
+    """
+    for cell, visit, fp, ids in _runs(batches):
+        fp = fp.view(np.uint64)
+        start, size = _settled(cell, visit)
+        two = start[size == 2]
+        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
+        a, b = [ids[two[near]]], [ids[two[near] + 1]]
+        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
+            order = np.lexsort((ids[at : at + n], fp[at : at + n])) + at
+            of, who = fp[order], ids[order]
+            new = np.append(True, of[1:] != of[:-1])
+            lead = np.flatnonzero(new)
+            if not cell[at] >> 32 & 1:
+                rest = np.flatnonzero(~new)
+                a.append(who[lead[np.cumsum(new)[rest] - 1]])
+                b.append(who[rest])
+            each, head = of[lead], who[lead]
+            if len(each) <= _BLOCK:
+                i, j = np.nonzero(np.triu(np.bitwise_count(each[:, None] ^ each[None, :]) <= radius, 1))
+                a.append(head[i])
+                b.append(head[j])
+            else:
+                x, y = _forest(each, radius)
+                for p, q in zip(x, y):
+                    a.append(head[np.searchsorted(each, p)])
+                    b.append(head[np.searchsorted(each, q)])
+        u, v = np.concatenate(a), np.concatenate(b)
+        if len(u):
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
+
+
+def _dealt(cells: DataFrame) -> DataFrame:
+    spark = cells.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return cells.repartition(parts, "cell").sortWithinPartitions("cell", "visit")
 
 
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
@@ -177,11 +221,8 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 0 <= radius <= RADIUS:
         raise ValueError("the grid serves at most 3 differing bits")
-    cells = _cells(fps.select("fp").distinct())
-    spark = fps.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    dealt = cells.repartition(parts, "cell").sortWithinPartitions("cell", "visit")
-    return dealt.mapInArrow(lambda x: _met(x, radius), "u long, v long")
+    cells = _cells(fps.select("fp").distinct().withColumn("k", F.lit(0)))
+    return _dealt(cells).mapInArrow(lambda x: _met(x, radius), "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,3 +245,118 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = RADIUS, id_co
 def as_hex(column: str = "fp"):
     """16 lowercase hex digits of a signed long."""
     return F.lower(F.lpad(F.hex(column), 16, "0"))
+
+
+# --- near duplicates by similarity of shingle sets -----------------------------------------------
+
+#: Fingerprints of a text's words, each of other bits of their hashes.
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
+#: A word counts this often at most.
+_WEIGHT = 2
+
+
+def word_fingerprints(texts: list[bytes]) -> np.ndarray:
+    """Fingerprints of each text's words (a row of one for each seed); a word weighs ``_WEIGHT`` at most."""
+    out = np.zeros((len(texts), len(_SEEDS)), np.uint64)
+    held: list[int] = []
+    sizes: list[int] = []
+    whose: list[int] = []
+
+    def flush() -> None:
+        if held:
+            size = np.array(sizes)
+            starts = np.cumsum(size) - size
+            plain = np.array(held, np.uint64)
+            for k, seed in enumerate(_SEEDS):
+                h = plain * seed
+                h ^= h >> np.uint64(29)
+                h *= np.uint64(0xBF58476D1CE4E5B9)
+                h ^= h >> np.uint64(32)
+                ones = np.add.reduceat(_bits(h), starts, axis=0, dtype=np.int64)
+                out[whose, k] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+        for x in (held, sizes, whose):
+            x.clear()
+
+    digest = xxhash.xxh64_intdigest
+    for k, text in enumerate(texts):
+        words = Counter(text.lower().split())
+        if words:
+            before = len(held)
+            for x, n in words.items():
+                held += [digest(x, 42)] * min(n, _WEIGHT)
+            sizes.append(len(held) - before)
+            whose.append(k)
+            if len(held) >= _MANY:
+                flush()
+    flush()
+    return out
+
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of ``text``; fewer words make one shingle of all of them."""
+    return np.unique(np.array(_hashes(text, words), np.uint64))
+
+
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``component_id`` of documents that have a near duplicate; all others are left out.
+
+    Two documents are near duplicates if the sets of their ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more; ``component_id`` is the smallest id that such links reach.
+    Candidates meet in the grid by one of six fingerprints of their words, within ``RADIUS`` bits,
+    and are verified on their shingle sets. Ids are longs; rows with a null id take no part, rows
+    that repeat an id are one document, and texts without a word are alike.
+
+    A document is first compared with the smallest candidate that it met, and then, with those that
+    this has not connected it to. So a group of near copies costs comparisons in proportion to its size.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps = word_fingerprints(batch.column(1).to_pylist())
+            n = fps.shape[1]
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(fps) + 1, n), pa.int32()), pa.array(fps.view(np.int64).ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "fps"])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                got = [shingle_set(x, words).tobytes() for x in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], ["id", "shingles"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
+                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                if min(len(a), len(b)) >= similarity * max(len(a), len(b)):
+                    both = np.concatenate([a, b])
+                    both.sort()
+                    same = int((both[1:] == both[:-1]).sum())
+                    good[k] = same >= similarity * (len(both) - same)
+            keep = pa.array(good)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in range(2)], ["u", "v"])
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        one = pairs.join(known.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
+        two = one.join(known.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
+        return stored(two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "verified")
+
+    rows = widened(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text")))
+    fps = stored(rows.mapInArrow(run, "id long, fps array<bigint>"), "fingerprints")
+    cells = _cells(fps.select("id", F.posexplode("fps").alias("k", "fp")).select("fp", "id", "k"))
+    met = stored(_dealt(cells).mapInArrow(lambda x: _met_ids(x, RADIUS), "u long, v long").where("u <> v").distinct(), "candidates")
+    named = met.select(F.col("u").alias("id")).union(met.select("v")).distinct()
+    known = stored(rows.join(named, "id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
+    sure = verified(met.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
+    roots = components(sure)
+    far = (
+        met.join(roots.toDF("u", "root_u"), "u", "left")
+        .join(roots.toDF("v", "root_v"), "v", "left")
+        .where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
+        .select("u", "v")
+    )
+    more = verified(far)
+    if not more.isEmpty():
+        roots = components(sure.union(more))
+    return roots.select(F.col("node").alias("id"), F.col("root").alias("component_id"))

@@ -74,7 +74,8 @@ def owners(store: Store, prefix: str = "") -> DataFrame:
     ranked = counts.join(F.broadcast(total), F.lit(True)).withColumn("before", F.sum("changes").over(place.rowsBetween(Window.unboundedPreceding, -1)))
     core = F.coalesce("before", F.lit(0)) < F.floor((F.col("total") + 1) / 2)
     factor = ranked.where(core).agg(F.count("*").alias("bus_factor"))
-    return ranked.join(F.broadcast(factor), F.lit(True)).select("actor", "changes", (F.col("changes") / F.col("total")).alias("share"), "bus_factor")
+    out = ranked.join(F.broadcast(factor), F.lit(True)).select("actor", "changes", (F.col("changes") / F.col("total")).alias("share"), "bus_factor")
+    return out.orderBy(F.desc("changes"), "actor")
 
 
 def _fixes(store: Store) -> DataFrame:

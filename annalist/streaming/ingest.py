@@ -14,9 +14,9 @@ from ..operators.scope import Scope
 
 
 def line_stream(spark: SparkSession, path: str, files: int = 1000) -> DataFrame:
-    """``line``, ``file`` and ``place`` of files that land in a folder; each file is read once."""
+    """``line`` and ``file`` of files that land in a folder; each file is read once."""
     rows = spark.readStream.option("maxFilesPerTrigger", files).text(path)
-    return rows.select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file")).withColumn("place", F.monotonically_increasing_id())
+    return rows.select(F.col("value").alias("line"), F.col("_metadata.file_name").alias("file"))
 
 
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -58,7 +58,7 @@ class History:
         """Ingest a stream of lines; with ``once``, what is there now, and then stop."""
 
         def batch(rows: DataFrame, number: int) -> None:
-            self.append(parse(rows), number)
+            self.append(parse(rows.withColumn("place", F.monotonically_increasing_id())), number)
 
         writer = lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="2 seconds")).start()

@@ -14,7 +14,7 @@ from annalist.functions.patterns import excluded, glob_regex, java_regex
     "text, want",
     [
         ("request took 12 ms", "request took <NUM> ms"),
-        ("id 550e8400-e29b-41d4-a716-446655440000.", "id <UUID>."),
+        ("id (550e8400-e29b-41d4-a716-446655440000)!", "id (<UUID>)!"),
         ("from 10.0.0.1:8080 at 2024-01-02T03:04:05.123Z", "from <IP> at <TS>"),
         ("[12:30:59] commit deadbeef1 ok", "[<TS>] commit <HEX> ok"),
         ("GET /users/42/items?id=7", "GET /users/<NUM>/items?id=<NUM>"),

@@ -208,3 +208,15 @@ def test_envelope(spark):
     out = envelope.answer(spark.range(5).orderBy("id"), "ids", 3, since=0, until=9)
     assert out["budget"] == {"max_items": 3, "returned": 3, "truncated": True} and out["window"] == {"until": 9}
     assert envelope.compact([{"a": 1.23456, "b": "x\ty"}, {"a": None, "b": [1]}]) == "a\tb\n1.235\tx y\n\t[1]"
+
+
+def test_command_line(spark, tmp_path):
+    from annalist.__main__ import main
+
+    _events(spark, 40).write.parquet(str(tmp_path / "h/events"))
+    out = json.loads(main(["top", str(tmp_path / "h"), "level", "--limit", "1"], spark))
+    assert out["result"] == [{"value": "INFO", "count": 30}] and out["budget"]["truncated"]
+    assert main(["top", str(tmp_path / "h"), "kind", "--level", "error", "--compact"], spark) == "value\tcount\nb\t6\na\t4"
+    assert json.loads(main(["hotspots", str(tmp_path / "h")], spark))["result"] == []
+    with pytest.raises(ValueError):
+        main(["top", str(tmp_path / "h"), "level", "--attr", "novalue"], spark)

@@ -103,9 +103,12 @@ def severity(level: Column) -> Column:
 
 SECRET = "<SECRET>"
 # Prefixes of public token formats, each with the least length of what follows.
-_PREFIXES = {"AKIA": 16, "ASIA": 16, "ghp_": 30, "gho_": 30, "ghs_": 30, "ghr_": 30, "ghu_": 30, "github_pat_": 30, "glpat-": 18, "xoxb-": 20, "xoxp-": 20, "sk-": 20, "AIza": 30, "npm_": 30, "hf_": 25}
+_PREFIXES = {
+    "ghp_": 30, "gho_": 30, "ghu_": 30, "ghs_": 30, "ghr_": 30, "github_pat_": 40, "glpat-": 20, "xoxb-": 20, "xoxp-": 20, "xoxa-": 20, "xoxs-": 20, "xapp-": 20,
+    "sk-ant-": 30, "sk-proj-": 30, "sk-": 32, "AKIA": 16, "ASIA": 16, "AIza": 35, "ya29.": 30, "npm_": 30, "pypi-": 40, "hf_": 30,
+}
 # Parts of names whose values are secrets.
-SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "access-key", "private_key", "credential", "auth_key", "client_key")
+SENSITIVE = ("password", "passwd", "pwd", "secret", "token", "api_key", "apikey", "api-key", "access_key", "private_key", "client_secret", "authorization", "auth_token", "cookie")
 _PROVIDER = re.compile("(?<![A-Za-z0-9_])(" + "|".join(rf"{re.escape(p)}[A-Za-z0-9_\-]{{{n},}}" for p, n in _PREFIXES.items()) + ")")
 _JWT = re.compile(r"eyJ[A-Za-z0-9_\-]{7,}\.[A-Za-z0-9_\-]{10,}\.[A-Za-z0-9_\-]*")
 _BEARER = re.compile(r"(?i)\b(bearer|basic)(\s+)([A-Za-z0-9+/=_\-.~]{4,})")
@@ -153,7 +156,7 @@ def redacted(text: str | None) -> tuple[str, int]:
         value = m[3]
         quote = value[0] if value[0] in "\"'" else ""
         bare = value.strip("\"'") if quote else value
-        if len(bare) < 8 or bare.isdigit() or bare[0] in "</~" or "://" in bare or (not quote and bare.isalpha() and " " in m[2]):
+        if len(bare) < 8 or bare.isdigit() or bare == SECRET or bare[0] in "</~" or "://" in bare or (not quote and bare.isalpha() and " " in m[2]):
             return m[0]
         return hide(m, m[1] + m[2] + quote) + quote
 

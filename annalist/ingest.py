@@ -14,29 +14,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import text as T
-from .functions.patterns import java_regex
+from .functions.patterns import excluded, java_regex
 from .model import Store, as_events
 
 RECORD = """id STRING, source STRING, kind STRING, at_ms LONG, actor STRING, actor_name STRING, title STRING, body STRING,
     level STRING, attrs MAP<STRING, STRING>, touches ARRAY<STRUCT<entity: STRING, type: STRING, weight: LONG, added: LONG, deleted: LONG>>,
     links ARRAY<STRUCT<rel: STRING, target: STRING>>, place LONG"""
 
-# Words in a message that make it a fix, and those of each category of bug.
-FIX_WORDS = ("fix", "bug", "error", "crash", "fault", "hotfix", "patch", "corrig", "arregl", "fallo", "soluc", "resuelv", "regress", "broken")
+# Words in a message that make it a fix, those of each category of bug, labels of a
+# forge that make an issue a bug, and paths that are left out of code metrics.
+FIX_WORDS = ("fix", "bug", "hotfix", "patch", "fixes", "fixed", "broken", "arregl", "corrig", "solucion", "repara", "error", "falla", "roto")
 CATEGORIES = {
-    "build": ("build", "compile", "cmake", "linker"),
-    "concurrency": ("race", "deadlock", "thread", "mutex"),
-    "crash": ("crash", "segfault", "panic", "abort"),
-    "data": ("corrupt", "data loss", "migration"),
-    "docs": ("typo", "readme", "documentation"),
-    "logic": ("wrong", "incorrect", "off-by-one"),
-    "memory": ("leak", "memory", "overflow", "use-after-free"),
-    "network": ("timeout", "connection", "socket", "retry"),
-    "performance": ("slow", "performance", "latency"),
-    "security": ("security", "vulnerab", "injection", "cve-"),
-    "test": ("flaky", "test fail"),
-    "ui": ("layout", "render", "button", "css"),
+    "memory-safety": ("memory leak", "leak", "use-after-free", "double-free", "segfault", "oom", "out of memory", "uninitialized", "buffer overflow"),
+    "crash": ("crash", "panic", "abort", "assertion", "sigsegv", "sigabrt", "fatal"),
+    "concurrency": ("race condition", "data race", "deadlock", "mutex", "thread safety", "atomic"),
+    "network": ("tls", "ssl", "socket", "websocket", "http/2", "http2", "tcp", "keep-alive", "handshake", "timeout", "fetch"),
+    "install-deps": ("lockfile", "bun.lock", "dependency", "dependencies", "registry", "workspace", "node_modules", "npm install"),
+    "types": ("typescript", "d.ts", "tsconfig", "type definition", "typings"),
+    "parser": ("parser", "lexer", "transpiler", "syntax error", "tokenizer", "ast "),
+    "performance": ("performance", "regression", "memory usage", "cpu usage", "slow"),
+    "security": ("security", "vulnerability", "cve", "injection", "sanitize"),
+    "data-db": ("sqlite", "postgres", "mysql", "serialize", "deserialize", "encoding", "sql query"),
+    "windows": ("windows", "win32"),
+    "build": ("bundler", "compile error", "linker", "codegen", "cross-compile"),
 }
+BUG_LABELS = ("bug", "defect", "regression", "error", "fix", "hotfix")
+EXCLUDED = ("*-lock.json", "*.lock", "package-lock.json", "*.min.js", "*.csv", "dist/*", "build/*", "vendor/*", "node_modules/*")
 
 
 @dataclass(frozen=True)
@@ -62,6 +65,7 @@ class Options:
     fix_words: tuple[str, ...] = FIX_WORDS
     categories: dict[str, tuple[str, ...]] = field(default_factory=lambda: CATEGORIES)
     exempt: tuple[str, ...] = ("git", "nod", "oslog")
+    excluded: tuple[str, ...] = EXCLUDED
 
 
 def _field(name: str) -> Column:
@@ -187,7 +191,7 @@ def ingest(records: DataFrame, options: Options = Options(), base: int = 0) -> S
     rows = rows.withColumn("simhash", F.when(F.col("kind") == "commit", T.simhash(F.concat_ws("\n", "title", "body"))).otherwise(0).cast("long"))
     touched = rows.select("rid", F.explode("touches").alias("t"))
     touches = touched.groupBy("rid", F.col("t.entity").alias("entity")).agg(F.sum("t.weight").alias("weight"), F.sum("t.added").alias("added"), F.sum("t.deleted").alias("deleted")).withColumn("attrs", F.create_map().cast("map<string,string>"))
-    entities = touched.groupBy(F.col("t.entity").alias("entity")).agg(F.min("t.type").alias("type")).select("entity", "type", F.lit(0).cast("long").alias("size"), F.lit(False).alias("deleted"), F.lit(False).alias("excluded"))
+    entities = touched.groupBy(F.col("t.entity").alias("entity")).agg(F.min("t.type").alias("type")).select("entity", "type", F.lit(0).cast("long").alias("size"), F.lit(False).alias("deleted"), excluded(F.col("entity"), options.excluded).alias("excluded"))
     links = rows.select("rid", F.explode("links").alias("l")).select("rid", "l.rel", "l.target").distinct()
     events = as_events(rows)
     return Store.of(events, touches=touches, entities=entities, links=links, labels=labels_of(events, options))

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..ingest import BUG_LABELS
+
 
 def extracted(text: str, records: str = "") -> list[dict]:
     """Records in a command's output: a list, an object, the list at a dotted path, or JSON lines."""
@@ -58,7 +60,7 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_replace("value", "\n+$", "").alias("line"), F.col("_metadata.file_name").alias("file")).withColumn("place", F.monotonically_increasing_id()).where("line <> ''")
 
 
-def issues(landed: DataFrame, kind: str, bug_labels: tuple[str, ...] = ("bug", "type: bug", "kind/bug", "defect", "regression", "crash")) -> DataFrame:
+def issues(landed: DataFrame, kind: str, bug_labels: tuple[str, ...] = BUG_LABELS) -> DataFrame:
     """Issues or pull requests from landed JSON lines of a forge; of a number that repeats, the last line."""
     schema = "number LONG, title STRING, state STRING, mergedAt STRING, closedAt STRING, labels ARRAY<STRUCT<name: STRING>>"
     x = landed.withColumn("x", F.from_json("line", schema)).where("x.number IS NOT NULL")

@@ -12,18 +12,22 @@ from ..functions.times import epoch_ms, parsed_ms
 from .lines import line_id, records, touch
 
 # Names that a field may have, in the order in which they are tried.
-TIME = ("time", "timestamp", "ts", "@timestamp", "date", "datetime", "at")
-MESSAGE = ("message", "msg", "text", "event", "log", "title")
+TIME = ("ts", "time", "timestamp", "@timestamp", "date", "eventTime")
+MESSAGE = ("msg", "message", "text", "log", "event")
 LEVEL = ("level", "severity", "lvl", "loglevel")
-ENTITY = ("service", "logger", "component", "module", "app", "source")
-ACTOR = ("user", "actor", "author", "username")
+ENTITY = ("service", "logger", "name", "path", "source", "unit", "container", "component")
+ACTOR = ("host", "hostname", "service", "pod", "node")
 #: Attributes that are kept when none are named.
 MOST = 30
 
 
 @dataclass(frozen=True)
 class Fields:
-    """Selectors; where one is empty, the usual names are tried on every line."""
+    """Selectors; where one is empty, the usual names are tried on every line.
+
+    ``where`` are conditions ``name=a|b`` on the line, ``explode_where`` on each element of the list at
+    ``explode``. ``uid`` and ``error_message`` may name alternatives, ``a|b``.
+    """
 
     time: str = ""
     message: str = ""
@@ -35,12 +39,22 @@ class Fields:
     kind: str = ""
     where: tuple[str, ...] = ()
     explode: str = ""
+    explode_where: tuple[str, ...] = ()
+    error_message: str = ""
     attrs: tuple[str, ...] = ()
-    links: dict[str, str] = field(default_factory=dict)
+    links: tuple[tuple[str, str], ...] = ()
     level_map: dict[str, str] = field(default_factory=dict)
     entity_join: str = ""
 
 
+#: Transcripts of coding agents: one event for each use of a tool and each result.
+TRANSCRIPTS = Fields(
+    time="timestamp", message="name", level="is_error", entity="name", kind="type", uid="id|tool_use_id", where=("type=assistant|user",), explode="message.content",
+    explode_where=("type=tool_use|tool_result",), error_message="content|content.0.text", level_map={"true": "ERROR", "false": ""},
+    links=(("tool_use", "id"), ("tool_use", "tool_use_id"), ("file", "input.file_path"), ("url", "input.url")), attrs=("cwd", "gitBranch", "sessionId", "isSidechain", "version"),
+)
+
+
 def path_of(selector: str) -> str:
     """A selector as a JSON path: ``a.b``, ``a.0``, ``a[0]``."""
     out = "$"
@@ -72,9 +86,16 @@ def _first(value: Column, root: Column, given: str, usual: tuple[str, ...]) -> C
     return F.coalesce(*(select(value, n) for n in names), *(select(root, n) for n in names))
 
 
+def _kind(item: Column, fields: Fields, kind: str) -> Column:
+    return F.coalesce(select(item, fields.kind), F.lit(kind)) if fields.kind else F.lit(kind)
+
+
 def parse(lines: DataFrame, fields: Fields = Fields(), source: str = "jsonl", kind: str = "log") -> DataFrame:
     """Records of JSON lines (``line``, ``file``, ``place``); lines that aren't objects are left out."""
     rows = lines.withColumn("root", F.try_parse_json("line")).where(F.schema_of_variant("root").startswith("OBJECT"))
+    for condition in fields.where:
+        name, _, wanted = condition.partition("=")
+        rows = rows.where(select(F.col("root"), name).isin(wanted.split("|")))
     if fields.explode:
         items = F.try_variant_get("root", path_of(fields.explode), "array<variant>")
         rows = rows.select("*", F.posexplode(items).alias("nth", "item"))
@@ -83,14 +104,14 @@ def parse(lines: DataFrame, fields: Fields = Fields(), source: str = "jsonl", ki
         rows = rows.withColumn("item", F.col("root"))
         ident = line_id(F.col("line"), F.col("file"), F.col("place"))
     item, root = F.col("item"), F.col("root")
-    for condition in fields.where:
+    for condition in fields.explode_where:
         name, _, wanted = condition.partition("=")
-        rows = rows.where(F.coalesce(select(item, name), select(root, name)).isin(wanted.split("|")))
+        rows = rows.where(select(item, name).isin(wanted.split("|")))
     told = F.coalesce(*(select(item, n) for n in ((fields.id,) if fields.id else ("id", "_id", "uuid"))))
     if fields.id:
         told = F.concat_ws(":", "file", told)
     if fields.uid:
-        told = F.concat_ws(":", F.lit(kind), F.coalesce(select(item, fields.uid), select(root, fields.uid)))
+        told = F.concat(_kind(item, fields, kind), F.lit(":"), _first(item, root, "", tuple(fields.uid.split("|"))))
     level = F.upper(_first(item, root, fields.level, LEVEL))
     for k, v in fields.level_map.items():
         level = F.when(level == k.upper(), v.upper()).otherwise(level)
@@ -107,17 +128,19 @@ def parse(lines: DataFrame, fields: Fields = Fields(), source: str = "jsonl", ki
         scalars = F.map_filter(flat, lambda k, v: v.isNotNull() & ~v.rlike(r"^\s*[\[{]"))
         attrs = F.map_from_entries(F.slice(F.array_sort(F.map_entries(scalars)), 1, MOST))
     attrs = F.map_filter(attrs, lambda k, v: v.isNotNull())
-    links = F.array(*(F.struct(F.lit(rel).alias("rel"), F.coalesce(select(item, s), select(root, s)).alias("target")) for rel, s in fields.links.items()))
+    links = F.array(*(F.struct(F.lit(rel).alias("rel"), F.coalesce(select(item, s), select(root, s)).alias("target")) for rel, s in fields.links))
     stamp = _first(item, root, fields.time, TIME)
     number = stamp.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][+]?[0-9]+)?$")
     at = F.when(number, epoch_ms(F.expr("1").cast("double") * stamp.try_cast("double"))).otherwise(parsed_ms(stamp))
     message = _first(item, root, fields.message, MESSAGE)
+    if fields.error_message:
+        message = F.when(level == "ERROR", F.coalesce(_first(item, root, "", tuple(fields.error_message.split("|"))), message)).otherwise(message)
     names = F.array_join(F.slice(F.array_sort(F.map_keys(F.from_json(F.to_json(item), "map<string,string>"))), 1, 8), ",")
     text = F.coalesce(message, F.concat(F.lit("{"), names, F.lit("}")))
     head = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
     return records(
         rows, source,
-        id=F.coalesce(told, ident), kind=F.coalesce(select(item, fields.kind), F.lit(kind)) if fields.kind else F.lit(kind),
+        id=F.coalesce(told, ident), kind=_kind(item, fields, kind),
         at_ms=at, actor=_first(item, root, fields.actor, ACTOR), title=F.left(F.coalesce(F.get(head, 0), F.lit("")), F.lit(500)),
         body=F.when(F.size(head) > 1, text).otherwise(""), level=F.coalesce(level, F.lit("")), attrs=attrs,
         touches=touch(F.coalesce(entity, F.lit("unknown")), "log-source"),

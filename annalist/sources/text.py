@@ -15,12 +15,12 @@ from .lines import line_id, records, touch
 
 # Names of columns, in the order in which they are tried.
 _COLUMNS = {
-    "time": ("time", "timestamp", "ts", "date", "datetime"),
-    "message": ("message", "msg", "text", "title", "event"),
-    "level": ("level", "severity"),
-    "entity": ("service", "component", "module", "source"),
-    "actor": ("user", "actor", "author"),
-    "id": ("id", "uuid", "key"),
+    "time": ("ts", "time", "timestamp", "date", "@timestamp", "datetime", "occurred_at", "event_time"),
+    "message": ("msg", "message", "text", "event", "description", "summary", "detail"),
+    "level": ("level", "severity", "lvl", "status", "priority"),
+    "entity": ("service", "endpoint", "path", "resource", "name", "component", "host", "entity", "table"),
+    "actor": ("host", "user", "author", "service", "actor", "owner"),
+    "id": ("id", "_id", "uuid"),
 }
 
 
@@ -47,7 +47,7 @@ def csv(lines: DataFrame, header: str, delimiter: str = ",", columns: dict[str,
 # --- syslog and web servers ----------------------------------------------------------------------
 
 # Severities of the syslog protocol, by number.
-SEVERITIES = ("EMERG", "ALERT", "CRIT", "ERROR", "WARNING", "NOTICE", "INFO", "DEBUG")
+SEVERITIES = ("EMERG", "ALERT", "CRIT", "ERROR", "WARN", "NOTICE", "INFO", "DEBUG")
 _NEW = r"^<(\d{1,3})>1 (\S+) (\S+) (\S+) (\S+) (\S+) (?:-|\[.*?\]) ?(.*)$"
 _OLD = r"^(?:<(\d{1,3})>)?([A-Z][a-z]{2} [ \d]\d \d{2}:\d{2}:\d{2}) (\S+) ([^:\[\s]+)(?:\[(\d+)\])?: ?(.*)$"
 

@@ -27,8 +27,8 @@ def got(df, *columns):
 def test_jsonl(spark, tmp_path):
     content = "\n".join(
         [
-            json.dumps({"ts": 1700000000123, "level": "warn", "msg": "a\nb", "service": "api", "x": {"y": 1}, "n": 5}),
-            json.dumps({"timestamp": "2024-01-01T00:00:00Z", "severity": "error", "message": "boom", "logger": "db", "user": "ann"}),
+            json.dumps({"ts": 1700000000123, "level": "warn", "msg": "a\nb", "service": "api", "x": {"y": 1}, "n": 5, "host": "h"}),
+            json.dumps({"timestamp": "2024-01-01T00:00:00Z", "severity": "error", "message": "boom", "logger": "db"}),
             json.dumps({"a.b": "literal", "a": {"b": "path"}, "when": "never"}),
             "not json",
             "[1, 2]",
@@ -45,7 +45,7 @@ def test_jsonl(spark, tmp_path):
 
 def test_jsonl_explode_where_links(spark, tmp_path):
     line = {"ts": 1700000000, "sid": "s1", "items": [{"type": "use", "id": "u1", "text": "go"}, {"type": "skip"}, {"type": "use", "text": "on", "sub": [{"k": 1}, {"v": "deep"}]}]}
-    fields = jsonl.Fields(explode="items", where=("type=use|other",), links={"session": "sid"}, attrs=("sub[].v",), level_map={"x": "y"})
+    fields = jsonl.Fields(explode="items", explode_where=("type=use|other",), links=(("session", "sid"),), attrs=("sub[].v",), level_map={"x": "y"})
     df = jsonl.parse(lines(spark, tmp_path, json.dumps(line)), fields)
     assert got(df, "title", F.col("links")[0]["target"], F.col("attrs")["sub[].v"]) == [("go", "s1", None), ("on", "s1", "deep")]
     assert "u1" in {r[0] for r in df.select("id").collect()}
@@ -57,6 +57,17 @@ def test_jsonl_entity_join(spark, tmp_path):
     assert got(df, "title", F.col("touches")[0]["entity"]) == [("1", "api"), ("2", "api"), ("3", "unknown")]
 
 
+def test_transcripts(spark, tmp_path):
+    use = {"type": "assistant", "timestamp": "2024-01-01T00:00:00Z", "sessionId": "s", "message": {"content": [{"type": "tool_use", "id": "u1", "name": "sh", "input": {"file_path": "a.py"}}, {"type": "text"}]}}
+    result = {"type": "user", "timestamp": "2024-01-01T00:00:01Z", "sessionId": "s", "message": {"content": [{"type": "tool_result", "tool_use_id": "u1", "is_error": True, "content": "no such file\nx"}]}}
+    df = jsonl.parse(lines(spark, tmp_path, "\n".join(json.dumps(x) for x in [use, result, {"type": "other"}])), jsonl.TRANSCRIPTS)
+    got_ = {r["kind"]: r for r in df.collect()}
+    assert set(got_) == {"tool_use", "tool_result"} and got_["tool_result"]["title"] == "no such file" and got_["tool_result"]["level"] == "ERROR"
+    assert {(x["rel"], x["target"]) for x in got_["tool_use"]["links"]} == {("tool_use", "u1"), ("file", "a.py")}
+    s = ingest(df, Options(entity_via="tool_use", dims=("sessionId",)))
+    assert sorted(r["entity"] for r in s.touches.collect()) == ["sh", "sh"]
+
+
 def test_csv(spark, tmp_path):
     df = text.csv(lines(spark, tmp_path, 'ts,msg,service,level\n1700000000,"a, ""b""",api,warn\n2024-01-01T00:00:00Z,short\n'), "ts,msg,service,level")
     assert got(df, "at_ms", "title", "level", F.col("touches")[0]["entity"]) == [(1700000000000, 'a, "b"', "WARN", "api"), (1704067200000, "short", "", "unknown")]
@@ -139,7 +150,7 @@ def test_ingest(spark, tmp_path):
         {"id": "1", "ts": 1700000009, "msg": "again", "service": "late"},
         {"id": "2", "ts": 1700000001, "msg": "quiet", "req": "r9", "token": "abcdefgh"},
     ])
-    records = jsonl.parse(lines(spark, tmp_path, content), jsonl.Fields(links={"req": "req"}))
+    records = jsonl.parse(lines(spark, tmp_path, content), jsonl.Fields(links=(("req", "req"),)))
     s = ingest(records, Options(dims=("host",), entity_via="req", relations=(Relation("pr", "title", pattern=r"PR-(\d+)"),)))
     rows = s.events.orderBy("rid").collect()
     assert [r["title"].split()[0] for r in rows] == ["ERROR:", "quiet"] and "correcthorse9" not in rows[0]["title"]
@@ -154,7 +165,7 @@ def test_rules(spark):
     from annalist.ingest import labels_of
 
     got = {(r["rid"], r["task"]): (r["label"], r["confidence"]) for r in labels_of(commit, Options()).collect()}
-    assert got == {(1, "kind"): ("fix", 1.0), (1, "is_fix"): ("true", 1.0), (1, "bug_category"): ("build", 0.7), (2, "is_fix"): ("false", 1.0)}
+    assert got == {(1, "kind"): ("fix", 1.0), (1, "is_fix"): ("true", 1.0), (1, "bug_category"): ("memory-safety", 0.7), (2, "is_fix"): ("false", 1.0)}
 
 
 def _events(spark, n):

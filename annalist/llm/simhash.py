@@ -26,8 +26,9 @@ from .components import components
 RADIUS = 3
 #: Shingle hashes whose bits are counted at once; a longer text is counted alone, in such blocks.
 _MANY = 1 << 17
-#: Fingerprints that one comparison holds against all others of a cell.
-_BLOCK = 64
+#: Fingerprints that one comparison holds against all others of a cell, and of a cell whose pairs are
+#: all kept as candidates.
+_BLOCK, _FEW = 64, 12
 
 
 def _hashes(text: bytes, words: int) -> list[int]:
@@ -131,6 +132,34 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.nda
     return a, b
 
 
+def _bonds(fps: np.ndarray, settled: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places in ``fps`` within ``radius``, one of them settled; a forest of them in a large cell.
+
+    Two visitors of a cell meet in another one, if they can be near. In a large cell those with most
+    neighbours come first, as what copies are copied from has more than the copies.
+    """
+    if len(fps) <= _FEW:
+        near = np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1)
+        return np.nonzero(near & (settled[:, None] | settled[None, :]))
+    number = np.zeros(len(fps), np.int64)
+    for k in np.flatnonzero(settled).tolist():
+        number[k] = np.count_nonzero(np.bitwise_count(fps ^ fps[k]) <= radius)
+    rest = np.lexsort((np.arange(len(fps)), -number))
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    while len(rest) > 1:
+        front, rest = rest[:1], rest[1:]
+        while len(front) and len(rest):
+            block, front = front[:_BLOCK], front[_BLOCK:]
+            near = (np.bitwise_count(fps[block][:, None] ^ fps[rest][None, :]) <= radius) & (settled[block][:, None] | settled[rest][None, :])
+            hit = near.any(axis=0)
+            if hit.any():
+                a.append(block[near[:, hit].argmax(axis=0)])
+                b.append(rest[hit])
+                front = np.concatenate([front, rest[hit]])
+                rest = rest[~hit]
+    return np.concatenate(a), np.concatenate(b)
+
+
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of whole cells, in turn: rows come in the order of the first column."""
     kept: list[np.ndarray] | None = None
@@ -192,16 +221,10 @@ def _met_ids(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Reco
                 rest = np.flatnonzero(~new)
                 a.append(who[lead[np.cumsum(new)[rest] - 1]])
                 b.append(who[rest])
-            each, head = of[lead], who[lead]
-            if len(each) <= _BLOCK:
-                i, j = np.nonzero(np.triu(np.bitwise_count(each[:, None] ^ each[None, :]) <= radius, 1))
-                a.append(head[i])
-                b.append(head[j])
-            else:
-                x, y = _forest(each, radius)
-                for p, q in zip(x, y):
-                    a.append(head[np.searchsorted(each, p)])
-                    b.append(head[np.searchsorted(each, q)])
+            head = who[lead]
+            x, y = _bonds(of[lead], visit[order[lead]] == 0, radius)
+            a.append(head[x])
+            b.append(head[y])
         u, v = np.concatenate(a), np.concatenate(b)
         if len(u):
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])

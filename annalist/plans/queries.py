@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..ingest import ingest
 from ..model import Store
-from ..operators import code, counting, episodes, process, relations, search
+from ..operators import code, counting, episodes, process, relations, reports, search
 from ..operators.scope import Scope
-from . import tables
+from ..sources import jsonl, text
+from . import rollups, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -308,3 +310,81 @@ def _with_hashes(spark: SparkSession, sf_dir: str) -> Store:
 
 query("simhash_bands", f"WITH {_HASHED}, n AS (SELECT h, min(rid) AS rid FROM h GROUP BY h) SELECT a.rid AS a, b.rid AS b, bit_count(xor(a.h, b.h)) AS distance FROM n a JOIN n b ON a.rid < b.rid AND bit_count(xor(a.h, b.h)) <= 1")(
     lambda spark, d: search.similar_pairs(_hashes(spark, d), 1).select("a", "b", F.col("distance").cast("int").alias("distance")))
+
+# --- sources: the log events written as lines, and read back --------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str, line) -> DataFrame:  # noqa: ANN001
+    e = tables.read(spark, sf_dir, "events").withColumn("ms", tables.ms("ts"))
+    return e.select(line.alias("line"), F.lit("x").alias("file"), F.col("event_id").alias("place"))
+
+
+def _read(df: DataFrame) -> DataFrame:
+    return df.select("place", "at_ms", "title", "level", F.col("touches")[0]["entity"].alias("entity"))
+
+
+_WHO = F.concat(F.lit("svc-"), F.col("user_id").cast("string"))
+_SECONDS = "(epoch_us(ts) // 1000000 * 1000)"
+_BACK = f"SELECT event_id AS place, {{0}} AS at_ms, event_type AS title, {{1}} AS level, 'svc-' || user_id AS entity FROM events"
+_UP = "upper(substr(event_type, 1, 4))"
+_LEVEL = F.substring("event_type", 1, 4).alias("level")
+
+
+@query("source_jsonl", _BACK.format("epoch_us(ts) // 1000", _UP))
+def _jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.to_json(F.struct(F.col("ms").alias("ts"), F.col("event_type").alias("msg"), _LEVEL, _WHO.alias("service")))
+    return _read(jsonl.parse(_lines(spark, sf_dir, line)))
+
+
+@query("source_jsonl_explode", "SELECT event_id AS place, count(*) AS events, string_agg(title, ',' ORDER BY title) AS titles FROM (SELECT event_id, event_type || '-a' AS title FROM events UNION ALL SELECT event_id, event_type || '-b' FROM events) GROUP BY 1")
+def _jsonl_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    item = lambda x, keep: F.struct(F.concat("event_type", F.lit(x)).alias("msg"), F.lit(keep).alias("type"))
+    line = F.to_json(F.struct(F.col("ms").alias("ts"), F.array(item("-a", "use"), item("-b", "use"), item("-c", "skip")).alias("items")))
+    rows = jsonl.parse(_lines(spark, sf_dir, line), jsonl.Fields(explode="items", explode_where=("type=use",)))
+    return rows.groupBy("place").agg(F.count_distinct("id").alias("events"), F.array_join(F.array_sort(F.collect_list("title")), ",").alias("titles"))
+
+
+@query("source_csv", _BACK.format("epoch_us(ts) // 1000", _UP))
+def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat_ws(",", F.col("ms").cast("string"), F.concat(F.lit('"'), "event_type", F.lit('"')), _LEVEL, _WHO)
+    return _read(text.csv(_lines(spark, sf_dir, line), "ts,msg,level,service"))
+
+
+@query("source_template", _BACK.format("epoch_us(ts) // 1000", _UP))
+def _template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.col("ms").cast("string"), F.lit("  "), _LEVEL, F.lit(" ["), _WHO, F.lit("] "), "event_type")
+    return _read(text.templated(_lines(spark, sf_dir, line), "<time> <level> [<svc>] <message>"))
+
+
+@query("source_syslog", _BACK.format(_SECONDS, "CASE event_id % 8 WHEN 0 THEN 'EMERG' WHEN 1 THEN 'ALERT' WHEN 2 THEN 'CRIT' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'WARN' WHEN 5 THEN 'NOTICE' WHEN 6 THEN 'INFO' ELSE 'DEBUG' END"))
+def _syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    line = F.concat(F.lit("<"), (F.col("event_id") % 8 + 32).cast("string"), F.lit(">1 "), stamp, F.lit(" host "), _WHO, F.lit(" 7 - - "), "event_type")
+    return _read(text.syslog(_lines(spark, sf_dir, line)))
+
+
+@query("source_access", f"SELECT event_id AS place, {_SECONDS} AS at_ms, 'GET /' || event_type || '?u=' || user_id || ' ' || (200 + event_id % 4 * 100) AS title, CASE event_id % 4 WHEN 2 THEN 'WARN' WHEN 3 THEN 'ERROR' ELSE 'INFO' END AS level, '/' || event_type AS entity FROM events")
+def _access(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stamp = F.date_format(F.timestamp_millis("ms"), "dd/MMM/yyyy:HH:mm:ss")
+    line = F.concat(F.lit("1.2.3.4 - - ["), stamp, F.lit(' +0000] "GET /'), "event_type", F.lit("?u="), F.col("user_id").cast("string"), F.lit(' HTTP/1.1" '), (F.col("event_id") % 4 * 100 + 200).cast("string"), F.lit(' 10 "-" "ua"'))
+    return _read(text.access(_lines(spark, sf_dir, line)))
+
+
+@query("source_git", "SELECT o_orderkey AS place, epoch_us(o_orderdate) // 1000000 * 1000 AS at_ms, 'fix: order #' || o_custkey AS title, '' AS level, 'src/' || o_orderstatus || '.py' AS entity FROM orders")
+def _git(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tables.read(spark, sf_dir, "orders")
+    sha = F.sha2(F.col("o_orderkey").cast("string"), 256)
+    line = F.concat_ws("\x1f", sha, F.lit("A"), F.lit("a@x"), F.floor(tables.ms("o_orderdate") / 1000).cast("string"), F.lit(""), F.concat(F.lit("fix: order #"), F.col("o_custkey").cast("string")), F.lit(""), F.concat(F.lit("\n1\t2\tsrc/"), "o_orderstatus", F.lit(".py")))
+    return _read(text.git_log(o.select(line.alias("line"), F.lit("x").alias("file"), F.col("o_orderkey").alias("place"))))
+
+
+@query("ingest_dedupe", "SELECT count(*) AS events, count(DISTINCT event_id % 500) AS ids, sum(CAST(event_id AS HUGEINT))::BIGINT AS places FROM (SELECT min(event_id) AS event_id FROM events GROUP BY event_id % 500)")
+def _dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.to_json(F.struct((F.col("event_id") % 500).cast("string").alias("id"), F.col("ms").alias("ts"), F.col("event_id").cast("string").alias("msg")))
+    events = ingest(jsonl.parse(_lines(spark, sf_dir, line))).events
+    return events.agg(F.count("*").alias("events"), F.count_distinct("id").alias("ids"), F.sum(F.col("title").cast("long")).alias("places"))
+
+
+_log("rollup_top_kind", f"SELECT kind AS value, count(*) AS count FROM ev WHERE at_ms >= {FROM} AND at_ms < {TO} AND level = 'INFO' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25", lambda s: rollups.top_from(rollups.build(s), s, "kind", Scope(since=FROM, until=TO, level="INFO")))
+_log("report_logs", None, lambda s: reports.log_report(s))
+query("report_code")(lambda spark, d: reports.code_report(tables.order_store(spark, d), _part(spark, d)))

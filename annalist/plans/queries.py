@@ -323,16 +323,16 @@ def _read(df: DataFrame) -> DataFrame:
     return df.select("place", "at_ms", "title", "level", F.col("touches")[0]["entity"].alias("entity"))
 
 
-_WHO = F.concat(F.lit("svc-"), F.col("user_id").cast("string"))
+_who = lambda: F.concat(F.lit("svc-"), F.col("user_id").cast("string"))  # noqa: E731  columns need a session
+_level = lambda: F.substring("event_type", 1, 4).alias("level")
 _SECONDS = "(epoch_us(ts) // 1000000 * 1000)"
-_BACK = f"SELECT event_id AS place, {{0}} AS at_ms, event_type AS title, {{1}} AS level, 'svc-' || user_id AS entity FROM events"
+_BACK = "SELECT event_id AS place, {0} AS at_ms, event_type AS title, {1} AS level, 'svc-' || user_id AS entity FROM events"
 _UP = "upper(substr(event_type, 1, 4))"
-_LEVEL = F.substring("event_type", 1, 4).alias("level")
 
 
 @query("source_jsonl", _BACK.format("epoch_us(ts) // 1000", _UP))
 def _jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.to_json(F.struct(F.col("ms").alias("ts"), F.col("event_type").alias("msg"), _LEVEL, _WHO.alias("service")))
+    line = F.to_json(F.struct(F.col("ms").alias("ts"), F.col("event_type").alias("msg"), _level(), _who().alias("service")))
     return _read(jsonl.parse(_lines(spark, sf_dir, line)))
 
 
@@ -346,20 +346,20 @@ def _jsonl_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("source_csv", _BACK.format("epoch_us(ts) // 1000", _UP))
 def _csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat_ws(",", F.col("ms").cast("string"), F.concat(F.lit('"'), "event_type", F.lit('"')), _LEVEL, _WHO)
+    line = F.concat_ws(",", F.col("ms").cast("string"), F.concat(F.lit('"'), "event_type", F.lit('"')), _level(), _who())
     return _read(text.csv(_lines(spark, sf_dir, line), "ts,msg,level,service"))
 
 
 @query("source_template", _BACK.format("epoch_us(ts) // 1000", _UP))
 def _template(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = F.concat(F.col("ms").cast("string"), F.lit("  "), _LEVEL, F.lit(" ["), _WHO, F.lit("] "), "event_type")
+    line = F.concat(F.col("ms").cast("string"), F.lit("  "), _level(), F.lit(" ["), _who(), F.lit("] "), "event_type")
     return _read(text.templated(_lines(spark, sf_dir, line), "<time> <level> [<svc>] <message>"))
 
 
 @query("source_syslog", _BACK.format(_SECONDS, "CASE event_id % 8 WHEN 0 THEN 'EMERG' WHEN 1 THEN 'ALERT' WHEN 2 THEN 'CRIT' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'WARN' WHEN 5 THEN 'NOTICE' WHEN 6 THEN 'INFO' ELSE 'DEBUG' END"))
 def _syslog(spark: SparkSession, sf_dir: str) -> DataFrame:
     stamp = F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    line = F.concat(F.lit("<"), (F.col("event_id") % 8 + 32).cast("string"), F.lit(">1 "), stamp, F.lit(" host "), _WHO, F.lit(" 7 - - "), "event_type")
+    line = F.concat(F.lit("<"), (F.col("event_id") % 8 + 32).cast("string"), F.lit(">1 "), stamp, F.lit(" host "), _who(), F.lit(" 7 - - "), "event_type")
     return _read(text.syslog(_lines(spark, sf_dir, line)))
 
 

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,12 @@ _PAIRS = 1 + 3 * _SPAN
 #: Words whose counts every worker holds, at most, and the bytes of the longest of them. Counts of
 #: all other words are joined.
 HELD, LONG = 150_000, 48
-#: Rounds of training, step size, tokens of a step, rows of weights that travel together.
-ROUNDS, RATE, STEP, TOGETHER = 2, 0.12, 1 << 15, 256
+#: Rounds of training, largest step, occurrences that damp a step, power of a row's number of steps
+#: by which they shrink, tokens of a step and of what is scored at once (few enough for the
+#: processor's cache), rows of weights that travel together.
+ROUNDS, RATE, DAMPED, DECAY, STEP, SCORED, TOGETHER = 2, 0.8, 4.0, 0.25, 1 << 14, 1 << 12, 256
+#: Bytes of text whose tokens are looked up together.
+BYTES = 1 << 18
 #: Distinct words that a counting task holds before it sends their counts.
 _COUNTED = 400_000
 
@@ -118,7 +123,7 @@ class Vocabulary:
 class Tokens:
     """Tokens of texts, as places of the model: flat, with three starts before each text."""
 
-    def __init__(self, vocabulary: Vocabulary, texts: list[bytes]):
+    def __init__(self, vocabulary: Vocabulary, texts: list[bytes], rare: bool = True):
         get = vocabulary.index.get
         self.rare: list[Counter[bytes]] = []
         self.known: list[np.ndarray] = []
@@ -126,12 +131,13 @@ class Tokens:
         for text in texts:
             words = text.lower().split()
             words.append(END)
-            at = np.fromiter((get(x, -1) for x in words), np.int32, len(words))
+            at = np.array(list(map(get, words, repeat(-1))), np.int32)
             place = vocabulary.place[at]
             missed = np.flatnonzero(at < 0)
             if len(missed):
                 place[missed] = [HEAD + ending_class(words[k]) for k in missed.tolist()]
-            self.rare.append(Counter(words[k] for k in missed.tolist()))
+            if rare:
+                self.rare.append(Counter([words[k] for k in missed.tolist()]))
             self.known.append(at)
             flat += [np.full(3, START, np.int32), place]
         self.flat = np.concatenate(flat) if flat else np.empty(0, np.int32)
@@ -140,81 +146,99 @@ class Tokens:
 
 
 def _features(flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class weights, and of the word weights, that are active at each token."""
+    """Rows of the class weights, and of the word weights, that are active at each token beside the bias."""
     one, two, three = flat[at - 1].astype(np.int64), flat[at - 2].astype(np.int64), flat[at - 3].astype(np.int64)
     pair = _PAIRS + ((one * _SPAN + two) * 2654435761 >> 7) % (ROWS - _PAIRS)
-    rows = np.stack([np.zeros_like(one), 1 + one, 1 + _SPAN + two, 1 + 2 * _SPAN + three, pair])
-    return rows, rows[:3]
+    rows = np.stack([1 + one, 1 + _SPAN + two, 1 + 2 * _SPAN + three, pair])
+    return rows, rows[:2]
 
 
 def _class_of(place: np.ndarray) -> np.ndarray:
     return np.where(place < HEAD, place // EACH, place - HEAD + FREQUENT)
 
 
-def _probabilities(logits: np.ndarray) -> np.ndarray:
-    logits -= logits.max(axis=1, keepdims=True)
+def _exponents(logits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Exponentials of the logits, in place, and their sums by row."""
+    if len(logits) and float(logits.max()) > 60:  # single precision holds no exponential over 88
+        logits -= logits.max(axis=1, keepdims=True)
     np.exp(logits, out=logits)
-    logits /= logits.sum(axis=1, keepdims=True)
-    return logits
+    return logits, logits @ np.ones(logits.shape[1], np.float32)
 
 
 def _forward(rows: np.ndarray, words: np.ndarray, flat: np.ndarray, at: np.ndarray):
-    """Class probabilities at each token; of common words, the probabilities within their class."""
+    """Class exponentials and their sums at each token; of common words, the same within their class."""
     features, near = _features(flat, at)
     place = flat[at]
     classes = _class_of(place)
     logits = rows[features[0]]
+    logits += rows[0]
     for f in features[1:]:
         logits += rows[f]
     head = np.flatnonzero(place < HEAD)
     inner = words.reshape(-1, EACH)
-    cells = near[:, head] * FREQUENT + classes[head]
-    within = inner[cells[0]]
-    for f in cells[1:]:
+    bias, cells = classes[head], near[:, head] * FREQUENT + classes[head]
+    within = inner[bias]
+    for f in cells:
         within += inner[f]
-    return features, cells, classes, head, place[head] % EACH, _probabilities(logits), _probabilities(within)
+    return features, [bias, *cells], classes, head, place[head] % EACH, _exponents(logits), _exponents(within)
 
 
 def log10_tokens(rows: np.ndarray, words: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Log10 of the class probability of each token, times that of a common word within its class."""
     out = np.empty(len(at))
-    for k in range(0, len(at), STEP):
-        part = at[k : k + STEP]
-        _, _, classes, head, slot, p, within = _forward(rows, words, flat, part)
-        got = p[np.arange(len(part)), classes].astype(float)
-        got[head] *= within[np.arange(len(head)), slot]
-        out[k : k + STEP] = np.log10(np.maximum(got, 1e-30))
+    for k in range(0, len(at), SCORED):
+        part = at[k : k + SCORED]
+        _, _, classes, head, slot, (p, total), (within, inner) = _forward(rows, words, flat, part)
+        got = p[np.arange(len(part)), classes].astype(float) / total
+        got[head] *= within[np.arange(len(head)), slot] / inner
+        out[k : k + SCORED] = np.log10(np.maximum(got, 1e-30))
     return out
 
 
 class Trainer:
-    """Gradient steps with a step size for each row, and how often each row was used."""
+    """Gradient steps with a step size for each weight, and how often each row was used."""
 
     def __init__(self, rows: np.ndarray, words: np.ndarray):
         self.rows, self.words = rows.copy(), words.reshape(-1, EACH).copy()
         self.first = rows, words.reshape(-1, EACH)
         self.used = [np.zeros(len(self.rows), np.float32), np.zeros(len(self.words), np.float32)]
-        self.size = [np.full(len(self.rows), 1.0, np.float32), np.full(len(self.words), 1.0, np.float32)]
+        self.steps = [np.zeros(len(self.rows), np.float32), np.zeros(len(self.words), np.float32)]
 
-    def _descend(self, k: int, table: np.ndarray, feature: np.ndarray, grad: np.ndarray) -> None:
-        order = np.argsort(feature, kind="stable")
+    def _descend(self, k: int, table: np.ndarray, feature: np.ndarray, grad: np.ndarray, label: np.ndarray) -> None:
+        """A step along the gradient of the rows in use, each weight by its curvature.
+
+        The gradient of a weight is what the model expects of its class less what was observed; the
+        larger of the two bounds the curvature, so a step never exceeds ``RATE``.
+        """
+        order = np.argsort(feature.astype(np.int16 if len(table) <= 1 << 15 else np.int32), kind="stable")
         ordered = feature[order]
         starts = np.flatnonzero(np.diff(ordered, prepend=-1))
         which = ordered[starts]
+        width = grad.shape[1]
         total = np.add.reduceat(grad[order], starts, axis=0)
-        self.size[k][which] += (total * total).mean(axis=1)
-        table[which] -= RATE * total / np.sqrt(self.size[k][which])[:, None]
-        self.used[k][which] += np.diff(np.append(starts, len(feature)))
+        times = np.diff(np.append(starts, len(feature)))
+        cell = np.repeat(np.arange(len(which)) * width, times) + label[order]
+        seen = np.bincount(cell, minlength=len(which) * width).reshape(-1, width).astype(np.float32)
+        seen += np.maximum(total, 0)  # the larger of what was observed and what was expected
+        seen += DAMPED
+        self.steps[k][which] += 1
+        seen *= (self.steps[k][which] ** DECAY)[:, None]
+        total *= RATE
+        total /= seen
+        table[which] -= total
+        self.used[k][which] += times
 
     def step(self, flat: np.ndarray, at: np.ndarray) -> None:
-        features, cells, classes, head, slot, p, within = _forward(self.rows, self.words, flat, at)
+        features, cells, classes, head, slot, (p, total), (within, inner) = _forward(self.rows, self.words, flat, at)
+        p /= total[:, None]
+        within /= inner[:, None]
         p[np.arange(len(at)), classes] -= 1
         within[np.arange(len(head)), slot] -= 1
-        for f in features:
-            self._descend(0, self.rows, f, p)
+        for f in (np.zeros(len(at), np.int64), *features):
+            self._descend(0, self.rows, f, p, classes)
         if len(head):
             for f in cells:
-                self._descend(1, self.words, f, within)
+                self._descend(1, self.words, f, within, slot)
 
     def changes(self) -> Iterator[tuple[int, bytes, bytes]]:
         """Blocks of rows that were used: number of the block, uses, and changes times uses."""
@@ -253,7 +277,7 @@ def _trained(docs: DataFrame, vocabulary: Vocabulary, rows: np.ndarray, words: n
         size = 0
 
         def learn() -> None:
-            tokens = Tokens(vocabulary, held)
+            tokens = Tokens(vocabulary, held, rare=False)
             for k in range(0, len(tokens.at), STEP):
                 trainer.step(tokens.flat, tokens.at[k : k + STEP])
 
@@ -261,7 +285,7 @@ def _trained(docs: DataFrame, vocabulary: Vocabulary, rows: np.ndarray, words: n
             for text in batch.column(0):
                 held.append(text.as_py())
                 size += len(held[-1])
-                if size > 6 * STEP:
+                if size > BYTES:
                     learn()
                     held, size = [], 0
         if held:

@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import widened
 from .packing import _BLANK, byte_of
 
-#: Stretches without white space whose tokens a worker remembers, and the longest such stretch.
-REMEMBERED, LONG = 300_000, 200
+#: Stretches without white space whose tokens a worker remembers (in two generations), words as the
+#: pattern splits them, and the longest of either.
+REMEMBERED, WORDS, LONG = 500_000, 700_000, 64
 _NONBLANK = re.compile(f"[^{_BLANK}]+")
 #: Proposed tokens that are verified at once.
 _AT_ONCE = 1 << 20
@@ -64,7 +65,14 @@ class WordBpe:
         self.seams, self.seam_rank = keys[order], np.array(list(self.rank.values()))[order]
         # tokens that merging their own characters doesn't give are never proposed
         self.offered = {x: i for x, i in self.vocab.items() if self.exact(x) == [i]}
+        # the longest token, without the suffix, that starts with each three characters
+        self.reach: dict[str, int] = {}
+        for x in self.offered:
+            body = x.removesuffix(self.end) if len(x) > len(self.end) else x
+            self.reach[body[:3]] = max(self.reach.get(body[:3], 0), len(body))
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.before: dict[str, tuple[bytes, str]] = {}  # the generation before: what is met again moves up
+        self.parts: dict[str, tuple[bytes, str]] = {}  # words as the pattern splits them
 
     def _symbols(self, word: str) -> list[int]:
         """``word``: byte characters and the suffix of the end of a word, if it has that."""
@@ -100,10 +108,11 @@ class WordBpe:
         """Greedy longest match of byte characters; the last token ends the word. Empty if none fits."""
         offered, n, at, out = self.offered, len(word), 0, []
         while at < n:
-            if n - at <= self.longest and (i := offered.get(word[at:] + self.end)) is not None:
+            far = self.reach.get(word[at : at + 3], 2)
+            if n - at <= far and (i := offered.get(word[at:] + self.end)) is not None:
                 out.append(i)
                 break
-            for to in range(min(n - 1, at + self.longest), at, -1):
+            for to in range(min(n - 1, at + far), at, -1):
                 if (i := offered.get(word[at:to])) is not None:
                     break
             else:
@@ -153,12 +162,11 @@ class WordBpe:
             out[x] = self.exact(x + self.end)
         return out
 
-    def _split(self, stretch: str) -> list[str]:
+    def _normal(self, stretch: str) -> str:
         if not stretch.isascii():
             # case is mapped character by character, so no final sigma
             stretch = unicodedata.normalize("NFC", stretch).replace("Σ", "σ")
-        words = self.words(stretch.lower())
-        return ["".join([self.char_of[b] for b in x.encode()]) for x in words]
+        return stretch.lower()
 
     def learn(self, stretches: list[str]) -> dict[str, tuple[bytes, str]]:
         """Ids (little-endian 32-bit) and names of the tokens of each of ``stretches``."""
@@ -169,11 +177,18 @@ class WordBpe:
             while end < len(stretches) and size < _AT_ONCE:
                 size += len(stretches[end])
                 end += 1
-            split = {x: self._split(x) for x in stretches[at:end]}
-            ids = self.encode_words(list({w for x in split.values() for w in x}))
-            for x, words in split.items():
-                of = [i for w in words for i in ids[w]]
-                got[x] = np.array(of, "<u4").tobytes(), " ".join([self.names[i] for i in of])
+            split = [self.words(self._normal(x)) for x in stretches[at:end]]
+            if len(self.parts) >= WORDS:
+                self.parts.clear()
+            parts = self.parts
+            new = list({w for x in split for w in x if w not in parts})
+            spelt = ["".join([self.char_of[b] for b in w.encode()]) for w in new]
+            ids = self.encode_words(spelt)
+            rare = {w: (np.array(ids[x], "<u4").tobytes(), " ".join([self.names[i] for i in ids[x]])) for w, x in zip(new, spelt)}
+            parts.update((w, x) for w, x in rare.items() if len(w) <= LONG)
+            for x, words in zip(stretches[at:end], split):
+                of = [parts.get(w) or rare[w] for w in words]
+                got[x] = of[0] if len(of) == 1 else (b"".join([w[0] for w in of]), " ".join([w[1] for w in of]))
             at = end
         return got
 
@@ -181,10 +196,13 @@ class WordBpe:
         """Ids and decoded text of each text."""
         cut = [self.special_at.search(x) is not None for x in texts] if self.special else [False] * len(texts)
         parts = [_NONBLANK.findall(x) if not c else self._around(x) for x, c in zip(texts, cut)]
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
-        known = self.known
+        if len(self.known) >= REMEMBERED // 2:
+            self.before, self.known = self.known, {}
+        known, before = self.known, self.before
         new = {x for p in parts for x in p if x not in known and x not in self.special}
+        again = {x for x in new if x in before}
+        known.update((x, before[x]) for x in again)
+        new -= again
         rare = self.learn(list(new)) if new else {}
         for x in rare:
             if len(x) <= LONG:

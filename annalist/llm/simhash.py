@@ -11,7 +11,6 @@ distance 1 meets in the cell of the upper one. Pairs that meet are tested exactl
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,9 +25,8 @@ from .components import components
 RADIUS = 3
 #: Shingle hashes whose bits are counted at once; a longer text is counted alone, in such blocks.
 _MANY = 1 << 17
-#: Fingerprints that one comparison holds against all others of a cell, and of a cell whose pairs are
-#: all kept as candidates.
-_BLOCK, _FEW = 64, 12
+#: Fingerprints that one comparison holds against all others of a cell.
+_BLOCK = 64
 
 
 def _hashes(text: bytes, words: int) -> list[int]:
@@ -132,34 +130,6 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.nda
     return a, b
 
 
-def _bonds(fps: np.ndarray, settled: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places in ``fps`` within ``radius``, one of them settled; a forest of them in a large cell.
-
-    Two visitors of a cell meet in another one, if they can be near. In a large cell those with most
-    neighbours come first, as what copies are copied from has more than the copies.
-    """
-    if len(fps) <= _FEW:
-        near = np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius, 1)
-        return np.nonzero(near & (settled[:, None] | settled[None, :]))
-    number = np.zeros(len(fps), np.int64)
-    for k in np.flatnonzero(settled).tolist():
-        number[k] = np.count_nonzero(np.bitwise_count(fps ^ fps[k]) <= radius)
-    rest = np.lexsort((np.arange(len(fps)), -number))
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    while len(rest) > 1:
-        front, rest = rest[:1], rest[1:]
-        while len(front) and len(rest):
-            block, front = front[:_BLOCK], front[_BLOCK:]
-            near = (np.bitwise_count(fps[block][:, None] ^ fps[rest][None, :]) <= radius) & (settled[block][:, None] | settled[rest][None, :])
-            hit = near.any(axis=0)
-            if hit.any():
-                a.append(block[near[:, hit].argmax(axis=0)])
-                b.append(rest[hit])
-                front = np.concatenate([front, rest[hit]])
-                rest = rest[~hit]
-    return np.concatenate(a), np.concatenate(b)
-
-
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of whole cells, in turn: rows come in the order of the first column."""
     kept: list[np.ndarray] | None = None
@@ -201,35 +171,6 @@ def _met(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
 
 
-def _met_ids(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of ids (the smaller first) whose fingerprints meet in a cell within ``radius``.
-
-    Ids of one fingerprint are paired with the smallest of them, which stands for the fingerprint.
-    """
-    for cell, visit, fp, ids in _runs(batches):
-        fp = fp.view(np.uint64)
-        start, size = _settled(cell, visit)
-        two = start[size == 2]
-        near = np.bitwise_count(fp[two] ^ fp[two + 1]) <= radius
-        a, b = [ids[two[near]]], [ids[two[near] + 1]]
-        for at, n in zip(start[size > 2].tolist(), size[size > 2].tolist()):
-            order = np.lexsort((ids[at : at + n], fp[at : at + n])) + at
-            of, who = fp[order], ids[order]
-            new = np.append(True, of[1:] != of[:-1])
-            lead = np.flatnonzero(new)
-            if not cell[at] >> 32 & 1:
-                rest = np.flatnonzero(~new)
-                a.append(who[lead[np.cumsum(new)[rest] - 1]])
-                b.append(who[rest])
-            head = who[lead]
-            x, y = _bonds(of[lead], visit[order[lead]] == 0, radius)
-            a.append(head[x])
-            b.append(head[y])
-        u, v = np.concatenate(a), np.concatenate(b)
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["u", "v"])
-
-
 def _dealt(cells: DataFrame) -> DataFrame:
     spark = cells.sparkSession
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
@@ -272,52 +213,90 @@ def as_hex(column: str = "fp"):
 
 # --- near duplicates by similarity of shingle sets -----------------------------------------------
 
-#: Fingerprints of a text's words, each of other bits of their hashes.
-_SEEDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-#: A word counts this often at most.
-_WEIGHT = 2
+#: One document in ``_SAMPLED`` is read to tell common shingles: those that occur in ``_COMMON`` of these
+#: documents, the ``_LISTED`` commonest. Which pairs are found doesn't depend on it, only how many are tried.
+_SAMPLED, _COMMON, _LISTED = 8, 4, 1 << 17
+#: So many members of a cell are held against all others in the first round, and times as many after each round.
+_FIRST, _GROWTH = 1, 8
+#: Pairs that are handed on at once.
+_PAIRS = 1 << 16
 
 
-def word_fingerprints(texts: list[bytes]) -> np.ndarray:
-    """Fingerprints of each text's words (a row of one for each seed); a word weighs ``_WEIGHT`` at most."""
-    out = np.zeros((len(texts), len(_SEEDS)), np.uint64)
-    held: list[int] = []
-    sizes: list[int] = []
-    whose: list[int] = []
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles of ``text``; fewer words make one shingle of all of them."""
+    return np.unique(np.array(_hashes(text, words), np.uint64))
 
-    def flush() -> None:
-        if held:
-            size = np.array(sizes)
-            starts = np.cumsum(size) - size
-            plain = np.array(held, np.uint64)
-            for k, seed in enumerate(_SEEDS):
-                h = plain * seed
-                h ^= h >> np.uint64(29)
-                h *= np.uint64(0xBF58476D1CE4E5B9)
-                h ^= h >> np.uint64(32)
-                ones = np.add.reduceat(_bits(h), starts, axis=0, dtype=np.int64)
-                out[whose, k] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-        for x in (held, sizes, whose):
-            x.clear()
 
-    digest = xxhash.xxh64_intdigest
-    for k, text in enumerate(texts):
-        words = Counter(text.lower().split())
-        if words:
-            before = len(held)
-            for x, n in words.items():
-                held += [digest(x, 42)] * min(n, _WEIGHT)
-            sizes.append(len(held) - before)
-            whose.append(k)
-            if len(held) >= _MANY:
-                flush()
-    flush()
-    return out
+def rarest(shingles: np.ndarray, similarity: float, common: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, rare ones before ``common`` ones (sorted, with their ``count``).
 
+    Sets of n shingles that are similar share ``similarity`` * n of them at least, so not all of the
+    others come before the first shared one: whatever the order, two similar sets have a common
+    member among their first n - ceil(``similarity`` * n) + 1.
+    """
+    n = len(shingles)
+    if not n:
+        return shingles
+    rank = np.zeros(n, np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, shingles), len(common) - 1)
+        rank = np.where(common[at] == shingles, count[at], 0)
+    return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the word shingles of ``text``; fewer words make one shingle of all of them."""
-    return np.unique(np.array(_hashes(text, words), np.uint64))
+
+def _shared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """``cell``, ``members``, ``id``, ``n`` of the documents that share a shingle.
+
+    Rows come sorted by shingle and size; a cell ends where sizes leave so wide a gap that no pair
+    across it is similar. Cells of the same documents have one name.
+    """
+    for shingle, n, ids in _runs(batches):
+        new = np.flatnonzero(np.diff(shingle, prepend=shingle[0] - 1))
+        size = np.diff(np.append(new, len(shingle)))
+        out: list[list[np.ndarray]] = [[], [], [], []]
+        for at, m in zip(new[size > 1].tolist(), size[size > 1].tolist()):
+            k = n[at : at + m]
+            ends = [0, *(np.flatnonzero(k[:-1] < similarity * k[1:] - 1e-9) + 1).tolist(), m]
+            for i, j in zip(ends[:-1], ends[1:]):
+                who, first = np.unique(ids[at + i : at + j], return_index=True)
+                if len(who) > 1:
+                    cell = np.uint64(xxhash.xxh64_intdigest(who.tobytes())).view(np.int64)
+                    for x, y in zip(out, (np.full(len(who), cell), np.full(len(who), len(who)), who, k[i:j][first])):
+                        x.append(y)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["cell", "members", "id", "n"])
+
+
+def _led(batches: Iterator[pa.RecordBatch], done: int, upto: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of unconnected members of a cell, the first of them the ``done``-th to the last before the ``upto``-th.
+
+    Rows (cell, id, n, root) come sorted by cell and id; the smaller id is the first.
+    """
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
+    held = 0
+
+    def handed() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["u", "v"])
+        a.clear()
+        b.clear()
+        return out
+
+    for cell, ids, n, root in _runs(batches):
+        new = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1))
+        for at, end in zip(new.tolist(), np.append(new[1:], len(cell)).tolist()):
+            for i in range(at + done, min(at + upto, end - 1)):
+                few, many = np.minimum(n[i], n[i + 1 : end]), np.maximum(n[i], n[i + 1 : end])
+                v = ids[i + 1 : end][(root[i + 1 : end] != root[i]) & (few >= similarity * many - 1e-9)]
+                if len(v):
+                    a.append(np.full(len(v), ids[i]))
+                    b.append(v)
+                    held += len(v)
+                    if held >= _PAIRS:
+                        yield handed()
+                        held = 0
+    if a:
+        yield handed()
 
 
 def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -325,20 +304,37 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
 
     Two documents are near duplicates if the sets of their ``words``-word shingles have a Jaccard
     similarity of ``similarity`` or more; ``component_id`` is the smallest id that such links reach.
-    Candidates meet in the grid by one of six fingerprints of their words, within ``RADIUS`` bits,
-    and are verified on their shingle sets. Ids are longs; rows with a null id take no part, rows
-    that repeat an id are one document, and texts without a word are alike.
-
-    A document is first compared with the smallest candidate that it met, and then, with those that
-    this has not connected it to. So a group of near copies costs comparisons in proportion to its size.
+    Candidates share one of their rarest shingles (see ``rarest``), which no similar pair fails to
+    do, and are verified on their shingle sets. Ids are longs; rows with a null id take no part,
+    rows that repeat an id are one document, and texts without a word are alike.
+
+    Documents with equal sets are one. In the cell of a shingle the member with the smallest id is
+    compared with the others; then further ones, more in each round, with those that they aren't yet
+    connected to, until each pair of the cell was compared or is connected. So a group of near
+    copies costs comparisons in proportion to its size.
     """
+    if not 0 < similarity <= 1:
+        raise ValueError("similarity is over 0 and at most 1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = word_fingerprints(batch.column(1).to_pylist())
-            n = fps.shape[1]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * len(fps) + 1, n), pa.int32()), pa.array(fps.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["id", "fps"])
+            for at in range(0, batch.num_rows, 500):
+                got = [shingle_set(x, words) for x in batch.column(1).slice(at, 500).to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["shingle"])
+
+    def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                n, digest, rare = [], [], []
+                for text in part.column(1).to_pylist():
+                    got = shingle_set(text, words)
+                    n.append(len(got))
+                    digest.append(xxhash.xxh3_128_digest(got.tobytes()))
+                    rare.append(rarest(got, similarity, common, count).view(np.int64))
+                ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
+                lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare)))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["id", "n", "digest", "rare"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -365,21 +361,39 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
         two = one.join(known.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
         return stored(two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "verified")
 
+    def dealt(df: DataFrame, *columns: str) -> DataFrame:
+        spark = df.sparkSession
+        parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        return df.repartition(parts, columns[0]).sortWithinPartitions(*columns)
+
     rows = widened(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text")))
-    fps = stored(rows.mapInArrow(run, "id long, fps array<bigint>"), "fingerprints")
-    cells = _cells(fps.select("id", F.posexplode("fps").alias("k", "fp")).select("fp", "id", "k"))
-    met = stored(_dealt(cells).mapInArrow(lambda x: _met_ids(x, RADIUS), "u long, v long").where("u <> v").distinct(), "candidates")
-    named = met.select(F.col("u").alias("id")).union(met.select("v")).distinct()
-    known = stored(rows.join(named, "id", "left_semi").mapInArrow(sets, "id long, shingles binary").dropDuplicates(["id"]), "shingles")
-    sure = verified(met.groupBy("v").agg(F.min("u").alias("u")).select("u", "v"))
-    roots = components(sure)
-    far = (
-        met.join(roots.toDF("u", "root_u"), "u", "left")
-        .join(roots.toDF("v", "root_v"), "v", "left")
-        .where(F.coalesce("root_u", "u") != F.coalesce("root_v", "v"))
-        .select("u", "v")
-    )
-    more = verified(far)
-    if not more.isEmpty():
-        roots = components(sure.union(more))
+    few = rows.where(F.pmod(F.xxhash64("id"), F.lit(_SAMPLED)) == 0).mapInArrow(sampled, "shingle long")
+    often = few.groupBy("shingle").count().where(F.col("count") >= _COMMON)
+    listed = sorted((r["shingle"] % 2**64, r["count"]) for r in often.orderBy(F.desc("count"), "shingle").limit(_LISTED).collect())
+    common, count = np.array([x for x, _ in listed], np.uint64), np.array([x for _, x in listed], np.int64)
+
+    marks = stored(rows.mapInArrow(marked, "id long, n long, digest binary, rare array<bigint>"), "marks")
+    least = marks.groupBy("digest").agg(F.min("id").alias("u"))
+    equal = stored(marks.join(least, "digest").where("id <> u").select("u", F.col("id").alias("v")).distinct(), "equal")
+    single = marks if equal.isEmpty() else marks.join(equal.select(F.col("v").alias("id")), "id", "left_anti")
+    spread = dealt(single.select(F.explode("rare").alias("shingle"), "n", "id"), "shingle", "n")
+    live = stored(spread.mapInArrow(lambda x: _shared(x, similarity), "cell long, members long, id long, n long").distinct(), "cells")
+    known = stored(rows.join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, shingles binary"), "shingles")
+
+    roots = components(equal)
+    done, upto, tried = 0, _FIRST, None
+    while not live.isEmpty():
+        live = live.join(roots.toDF("id", "root"), "id", "left").select("cell", "members", "id", "n", F.coalesce("root", "id").alias("root"))
+        met = dealt(live.select("cell", "id", "n", "root"), "cell", "id").mapInArrow(lambda x, i=done, j=upto: _led(x, i, j, similarity), "u long, v long").distinct()
+        if tried is not None:
+            met = met.join(tried, ["u", "v"], "left_anti")
+        met = stored(met, "candidates")
+        tried = met if tried is None else tried.union(met)
+        links = verified(met)
+        if not links.isEmpty():
+            roots = components(roots.toDF("u", "v").union(links))
+        live = live.select("cell", "members", "id", "n").where(F.col("members") > upto + 1)
+        joined = live.join(roots.toDF("id", "root"), "id", "left").groupBy("cell").agg(F.min(F.coalesce("root", "id")).alias("a"), F.max(F.coalesce("root", "id")).alias("b"))
+        live = stored(live.join(joined.where("a <> b"), "cell", "left_semi"), "cells")
+        done, upto = upto, upto * _GROWTH
     return roots.select(F.col("node").alias("id"), F.col("root").alias("component_id"))

@@ -136,6 +136,31 @@ def test_similar_equals_brute_force(spark):
     assert simhash.similar(docs(spark, ["x"]).limit(0)).count() == 0
 
 
+def shingle_links(texts):
+    """Pairs of places of texts whose five-word shingles have a similarity of 0.8, by brute force."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for w in (t.lower().split() for t in texts)]
+    return [(b, a) for a in range(len(sets)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+
+def similar_components(spark, texts):
+    got = {r["id"]: r["component_id"] for r in simhash.similar(docs(spark, texts)).collect()}
+    return {k: got.get(k, k) for k in range(len(texts))}
+
+
+def test_similar_finds_added_and_cut_passages(spark):
+    rng = random.Random(21)
+    texts = []
+    for k in range(60):  # 5 to 19 % of a text added behind, before or within it, or cut from an end
+        base = prose(rng, rng.randint(100, 400), 5000).split()
+        much = int(len(base) * rng.uniform(0.05, 0.19))
+        more, at = [f"k{k}x{j}" for j in range(much)], rng.randrange(len(base))
+        edits = [base + more, more + base, base[:at] + more + base[at:], base[:-much], base[much:]]
+        texts += [" ".join(base), " ".join(edits[k % 5])]
+    links = shingle_links(texts)
+    assert len(links) > 50
+    assert similar_components(spark, texts) == unions(range(len(texts)), links)
+
+
 # --- exact dedup ---------------------------------------------------------------------------------
 
 

@@ -161,6 +161,20 @@ def test_similar_finds_added_and_cut_passages(spark):
     assert similar_components(spark, texts) == unions(range(len(texts)), links)
 
 
+def shuffled(rng, sentences):
+    return " ".join(rng.sample(sentences, len(sentences)))
+
+
+def test_similar_tells_texts_of_one_bag_of_words_apart(spark):
+    rng = random.Random(22)
+    sentences = [" ".join(f"s{k}w{j}" for j in range(8)) for k in range(40)]
+    x = shuffled(rng, sentences)
+    words = x.split()
+    texts = [" ".join(sentences), x, " ".join(words[8:] + words[:8])]
+    assert shingle_links(texts) == [(1, 2)]
+    assert similar_components(spark, texts) == {0: 0, 1: 1, 2: 1}
+
+
 # --- exact dedup ---------------------------------------------------------------------------------
 
 

@@ -175,6 +175,31 @@ def test_similar_tells_texts_of_one_bag_of_words_apart(spark):
     assert similar_components(spark, texts) == {0: 0, 1: 1, 2: 1}
 
 
+def test_similar_in_large_cells_equals_brute_force(spark):
+    rng = random.Random(23)
+    sentences = [" ".join(f"s{k}w{j}" for j in range(8)) for k in range(40)]
+    texts = []
+    for k in range(24):  # pairs of near copies, whose words differ in two of 320 from those of all others
+        words = shuffled(rng, sentences).split()
+        texts += [" ".join(words[:j] + [f"n{k}"] + words[j + 1 :]) for j in rng.sample(range(320), 2)]
+    rng.shuffle(texts)
+    links = shingle_links(texts)
+    assert 24 <= len(links) < 100
+    assert similar_components(spark, texts) == unions(range(len(texts)), links)
+
+
+def test_members_of_a_cell_meet_in_rounds():
+    n, rng = 40, random.Random(24)
+    root = [rng.randrange(4) for _ in range(n)]
+    batch = simhash.pa.RecordBatch.from_arrays([simhash.pa.array(x) for x in ([5] * n, range(n), [100] * n, root)], ["cell", "id", "n", "root"])
+    got, done, upto = [], 0, 1
+    while done < n:
+        for b in simhash._led(iter([batch]), done, upto, 0.8):
+            got += zip(*(c.to_pylist() for c in b.columns))
+        done, upto = upto, upto * 8
+    assert sorted(got) == [(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b]]
+
+
 # --- exact dedup ---------------------------------------------------------------------------------
 
 

@@ -293,9 +293,9 @@ query("infer_level", r"""SELECT doc_id, CASE regexp_extract(line, '(^|[^A-Za-z0-
     lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.inferred_level(F.concat(F.when(F.col("doc_id") % 3 == 0, "ERROR: ").when(F.col("doc_id") % 3 == 1, "x WARN ").otherwise(""), F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 100))).alias("level_inf")))
 query("tickets_extract", r"""SELECT conv_id, turn, regexp_extract_all('see ABC-' || conv_id || ' and #' || turn || ' ABC-' || conv_id, '[A-Z]+-[0-9]+|#[0-9]+')[1:2] AS found FROM conversations""".replace(" AS found", "::VARCHAR AS found"))(
     lambda spark, d: tables.read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.array_join(T.tickets(F.concat(F.lit("see ABC-"), "conv_id", F.lit(" and #"), "turn", F.lit(" ABC-"), "conv_id")), ", "), F.lit("]")).alias("found")))
-query("templatize_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.templatize(F.split("text", "\n")[0]).alias("template")))
+query("templatize_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.templatize(F.col("text")).alias("template")))
 query("redact_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("text"), T.secrets(F.col("text")).alias("secrets")))
-query("simhash_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.simhash(F.split("text", "\n")[0]).alias("simhash")))
+query("simhash_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.simhash(F.col("text")).alias("simhash")))
 _HASHED = "h AS (SELECT event_id AS rid, event_id * 2654435761 % 65536 + (user_id % 7) * 65536 AS h FROM events)"
 _hashes = lambda spark, d: tables.read(spark, d, "events").select(F.col("event_id").alias("rid"), (F.col("event_id") * 2654435761 % 65536 + (F.col("user_id") % 7) * 65536).alias("h"))
 query("similar_hamming", f"WITH {_HASHED} SELECT 'ev:' || a.rid AS id, bit_count(xor(a.h, b.h)) AS distance FROM h a, h b WHERE b.rid = 50 AND a.rid <> 50 AND a.h <> 0 AND bit_count(xor(a.h, b.h)) <= 4 ORDER BY 2, a.rid LIMIT 15")(

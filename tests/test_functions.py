@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annalist.functions import text as T
 from annalist.functions import times
 from annalist.functions.patterns import excluded, glob_regex, java_regex
+from annalist.plans.queries import QUERIES
 
 
 @pytest.mark.parametrize(
@@ -77,6 +78,18 @@ def test_batched_functions_match_the_plain_ones(spark):
     assert [tuple(r) for r in got] == [(T.template_of(x), T.simhash_of(x)) for x in texts]
 
 
+def over_documents(spark, tmp_path, name, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    return [r[1] for r in QUERIES[name](spark, str(tmp_path)).orderBy("doc_id").collect()]
+
+
+@pytest.mark.parametrize("name, plain", [("simhash_docs", T.simhash_of), ("templatize_docs", T.template_of)])
+def test_documents_are_read_beyond_their_first_line(spark, tmp_path, name, plain):
+    texts = ["one title\nbody 12 of words", "one title\nanother text at 10.0.0.1", "\n\nlate 7", "one line", "", None]
+    got = over_documents(spark, tmp_path, name, texts)
+    assert got == [plain(x) for x in texts] and got[0] != got[1]
+
+
 def test_simhash():
     assert T.simhash_of("") == 0 and T.simhash_of("Same words") == T.simhash_of("same WORDS!")
     assert T.fnv64(b"") == 0xCBF29CE484222325 and T.fnv64(b"a") == 0xAF63DC4C8601EC8C

@@ -290,7 +290,7 @@ query("search_bm25", r"""WITH w AS (SELECT doc_id AS rid, list_filter(regexp_spl
     lambda spark, d: search.bm25(tables.read(spark, d, "documents").select(F.col("doc_id").alias("rid"), "text"), ["with", "que"], None).select("rid", F.round("score", 6).alias("score")))
 query("infer_level", r"""SELECT doc_id, CASE regexp_extract(line, '(^|[^A-Za-z0-9])(PANIC|FATAL|CRITICAL|CRIT|ERROR|WARNING|WARN)([:\] \t|>]|$)', 2) WHEN 'PANIC' THEN 'FATAL' WHEN 'FATAL' THEN 'FATAL' WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'CRIT' THEN 'CRITICAL' WHEN 'ERROR' THEN 'ERROR' WHEN 'WARNING' THEN 'WARNING' WHEN 'WARN' THEN 'WARNING' ELSE '' END AS level_inf
     FROM (SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN 'ERROR: ' WHEN 1 THEN 'x WARN ' ELSE '' END) || substr(split_part(coalesce(text, ''), chr(10), 1), 1, 100) AS line FROM documents)""")(
-    lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.inferred_level(F.concat(F.when(F.col("doc_id") % 3 == 0, "ERROR: ").when(F.col("doc_id") % 3 == 1, "x WARN ").otherwise(""), F.substring(F.split(F.coalesce("text", F.lit("")), "\n")[0], 1, 100))).alias("level_inf")))
+    lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.inferred_level(F.concat(F.when(F.col("doc_id") % 3 == 0, "ERROR: ").when(F.col("doc_id") % 3 == 1, "x WARN ").otherwise(""), F.coalesce("text", F.lit("")))).alias("level_inf")))
 query("tickets_extract", r"""SELECT conv_id, turn, regexp_extract_all('see ABC-' || conv_id || ' and #' || turn || ' ABC-' || conv_id, '[A-Z]+-[0-9]+|#[0-9]+')[1:2] AS found FROM conversations""".replace(" AS found", "::VARCHAR AS found"))(
     lambda spark, d: tables.read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.array_join(T.tickets(F.concat(F.lit("see ABC-"), "conv_id", F.lit(" and #"), "turn", F.lit(" ABC-"), "conv_id")), ", "), F.lit("]")).alias("found")))
 query("templatize_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.templatize(F.col("text")).alias("template")))

@@ -90,6 +90,18 @@ def test_documents_are_read_beyond_their_first_line(spark, tmp_path, name, plain
     assert got == [plain(x) for x in texts] and got[0] != got[1]
 
 
+def test_infer_level_reads_200_characters_and_pairs(spark, tmp_path):
+    ends = [("FATAL x", "FATAL"), ("level=warn x", "WARNING"), ('"level": "error"', "ERROR")]
+    texts, want = [], []
+    for at in (0, 120, 185, 210):
+        for tail, level in ends:
+            for text, found in (("." * at + tail, level if at < 200 else ""), ("." * at + "\n" + tail, "")):
+                # every third document has no prefix that names a level
+                texts += ["x", "x", text]
+                want += ["ERROR", "WARNING", found]
+    assert over_documents(spark, tmp_path, "infer_level", texts) == want
+
+
 def test_simhash():
     assert T.simhash_of("") == 0 and T.simhash_of("Same words") == T.simhash_of("same WORDS!")
     assert T.fnv64(b"") == 0xCBF29CE484222325 and T.fnv64(b"a") == 0xAF63DC4C8601EC8C

@@ -11,7 +11,8 @@ distance 1 meets in the cell of the upper one. Pairs that meet are tested exactl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +30,7 @@ _MANY = 1 << 17
 _BLOCK = 64
 
 
-def _hashes(text: bytes, words: int) -> list[int]:
+def _hashes(text: bytes, words: int) -> np.ndarray:
     """XXH64 (seed 42) of each word shingle of ``text``: A-Z lowered, words split at ASCII blanks.
 
     Shingles repeat as often as they occur; fewer words than ``words`` make one shingle of all of
@@ -38,9 +39,9 @@ def _hashes(text: bytes, words: int) -> list[int]:
     parts = text.lower().split()
     digest = xxhash.xxh64_intdigest
     if len(parts) <= words:
-        return [digest(b" ".join(parts), 42)] if parts else []
-    shingles = map(b" ".join, zip(*(parts[k:] for k in range(words))))
-    return [digest(x, 42) for x in shingles]
+        return np.array([digest(b" ".join(parts), 42)] if parts else [], np.uint64)
+    shingles = map(b" ".join, zip(*(islice(parts, k, None) for k in range(words))))
+    return np.fromiter((digest(x, 42) for x in shingles), np.uint64, len(parts) - words + 1)
 
 
 def _bits(hashes: np.ndarray) -> np.ndarray:
@@ -49,10 +50,16 @@ def _bits(hashes: np.ndarray) -> np.ndarray:
 
 def fingerprint_all(texts: list[bytes], words: int = 3) -> np.ndarray:
     """64-bit SimHash of each text: a bit is set if over half of the shingle hashes set it; 0 without words."""
-    out = np.zeros(len(texts), np.uint64)
-    held: list[int] = []
+    return _voted((_hashes(text, words) for text in texts), len(texts))
+
+
+def _voted(hashes: Iterable[np.ndarray], n: int) -> np.ndarray:
+    """The majority of the bits of each of ``n`` collections of hashes."""
+    out = np.zeros(n, np.uint64)
+    held: list[np.ndarray] = []
     sizes: list[int] = []
     whose: list[int] = []
+    many = 0
 
     def settle(ones: np.ndarray, size: np.ndarray, at: list[int]) -> None:
         out[at] = np.packbits(2 * ones > size[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
@@ -60,23 +67,23 @@ def fingerprint_all(texts: list[bytes], words: int = 3) -> np.ndarray:
     def flush() -> None:
         if held:
             size = np.array(sizes)
-            bits = _bits(np.array(held, np.uint64))
+            bits = _bits(np.concatenate(held))
             settle(np.add.reduceat(bits, np.cumsum(size) - size, axis=0, dtype=np.int64), size, whose)
         for x in (held, sizes, whose):
             x.clear()
 
-    for k, text in enumerate(texts):
-        got = _hashes(text, words)
+    for k, got in enumerate(hashes):
         if len(got) > _MANY:
-            all_of = np.array(got, np.uint64)
-            ones = sum(_bits(all_of[i : i + _MANY]).sum(axis=0, dtype=np.int64) for i in range(0, len(all_of), _MANY))
-            settle(ones[None, :], np.array([len(all_of)]), [k])
-        elif got:
-            held += got
+            ones = sum(_bits(got[i : i + _MANY]).sum(axis=0, dtype=np.int64) for i in range(0, len(got), _MANY))
+            settle(ones[None, :], np.array([len(got)]), [k])
+        elif len(got):
+            held.append(got)
             sizes.append(len(got))
             whose.append(k)
-            if len(held) >= _MANY:
+            many += len(got)
+            if many >= _MANY:
                 flush()
+                many = 0
     flush()
     return out
 
@@ -132,18 +139,22 @@ def _forest(fps: np.ndarray, radius: int) -> tuple[list[np.ndarray], list[np.nda
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     """Columns of whole cells, in turn: rows come in the order of the first column."""
-    kept: list[np.ndarray] | None = None
+    kept: list[list[np.ndarray]] = []
     for batch in batches:
         if not batch.num_rows:
             continue
         got = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        kept = got if kept is None else [np.concatenate(x) for x in zip(kept, got)]
-        cut = int(np.searchsorted(kept[0], kept[0][-1]))  # the last cell may go on in the next batch
+        whole = bool(kept) and kept[0][0][0] == got[0][-1]
+        kept.append(got)
+        if whole:
+            continue
+        rows = [np.concatenate(x) for x in zip(*kept)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last cell may go on in the next batch
         if cut:
-            yield [x[:cut] for x in kept]
-            kept = [x[cut:] for x in kept]
-    if kept is not None and len(kept[0]):
-        yield kept
+            yield [x[:cut] for x in rows]
+        kept = [[x[cut:] for x in rows]]
+    if kept:
+        yield [np.concatenate(x) for x in zip(*kept)]
 
 
 def _settled(cell: np.ndarray, visit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,13 +229,17 @@ def as_hex(column: str = "fp"):
 _SAMPLED, _COMMON, _LISTED = 8, 4, 1 << 17
 #: So many members of a cell are held against all others in the first round, and times as many after each round.
 _FIRST, _GROWTH = 1, 8
+#: Rows of one cell that a task gathers, or holds against the leading members; larger cells are split.
+_WHOLE = 1 << 16
 #: Pairs that are handed on at once.
 _PAIRS = 1 << 16
+#: Segments of a set's counts: a power of two between an eighth and a quarter of its size, within these bounds.
+_FEWEST, _MOST = 16, 1 << 14
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Sorted distinct hashes of the word shingles of ``text``; fewer words make one shingle of all of them."""
-    return np.unique(np.array(_hashes(text, words), np.uint64))
+    return np.unique(_hashes(text, words))
 
 
 def rarest(shingles: np.ndarray, similarity: float, common: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -244,16 +259,53 @@ def rarest(shingles: np.ndarray, similarity: float, common: np.ndarray, count: n
     return shingles[np.lexsort((shingles, rank))[: n - int(np.ceil(similarity * n - 1e-9)) + 1]]
 
 
+def segment_counts(shingles: np.ndarray) -> bytes:
+    """How many of the shingles fall in each segment of the range of hashes, a byte each (255: or more).
+
+    The Manhattan distance of two such vectors never exceeds the number of shingles that only one of
+    the sets has: such a shingle changes one count by one.
+    """
+    bits = max(_FEWEST, min(_MOST, len(shingles) // 4)).bit_length() - 1
+    return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+
+
+def _folded(counts: np.ndarray, segments: int) -> np.ndarray:
+    """Rows of counts over fewer segments."""
+    return counts.reshape(len(counts), segments, -1).sum(axis=2, dtype=np.int32)
+
+
+def may_be_similar(one: bytes, n: int, others: Sequence[bytes], sizes: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of ``others`` sizes and segment counts don't rule out as similar to ``one``; a lower bound, so none is missed."""
+    fine = np.minimum(n, sizes) >= similarity * np.maximum(n, sizes) - 1e-9
+    most = (n + sizes) * ((1 - similarity) / (1 + similarity)) + 1e-9
+    mine = np.frombuffer(one, np.uint8)[None, :]
+    widths = np.fromiter(map(len, others), np.int64, len(others))
+    for width in np.unique(widths[fine]).tolist():
+        at = np.flatnonzero(fine & (widths == width))
+        least = min(width, mine.shape[1])
+        # a full byte may stand for more, so such counts are as good as equal
+        theirs = np.frombuffer(b"".join([others[k] for k in at.tolist()]), np.uint8).reshape(len(at), width)
+        if width == mine.shape[1]:
+            apart = np.abs(theirs.astype(np.int16) - mine).sum(axis=1, dtype=np.int64)
+        else:
+            full = bool((theirs == 255).any() or (mine == 255).any())
+            apart = np.zeros(len(at), np.int64) if full else np.abs(_folded(theirs, least) - _folded(mine, least)).sum(axis=1)
+        fine[at] = apart <= most[at]
+    return fine
+
+
 def _shared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """``cell``, ``members``, ``id``, ``n`` of the documents that share a shingle.
+    """``cell``, ``members``, ``place``, ``id``, ``n`` of the documents that share a shingle.
 
     Rows come sorted by shingle and size; a cell ends where sizes leave so wide a gap that no pair
-    across it is similar. Cells of the same documents have one name.
+    across it is similar. Cells of the same documents have one name. A cell of more than ``_WHOLE``
+    documents is handed on as it comes, unsorted, and its ``members`` are -1.
     """
-    for shingle, n, ids in _runs(batches):
+
+    def cells(shingle: np.ndarray, n: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.flatnonzero(np.diff(shingle, prepend=shingle[0] - 1))
         size = np.diff(np.append(new, len(shingle)))
-        out: list[list[np.ndarray]] = [[], [], [], []]
+        out: list[list[np.ndarray]] = [[], [], [], [], []]
         for at, m in zip(new[size > 1].tolist(), size[size > 1].tolist()):
             k = n[at : at + m]
             ends = [0, *(np.flatnonzero(k[:-1] < similarity * k[1:] - 1e-9) + 1).tolist(), m]
@@ -261,16 +313,56 @@ def _shared(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
                 who, first = np.unique(ids[at + i : at + j], return_index=True)
                 if len(who) > 1:
                     cell = np.uint64(xxhash.xxh64_intdigest(who.tobytes())).view(np.int64)
-                    for x, y in zip(out, (np.full(len(who), cell), np.full(len(who), len(who)), who, k[i:j][first])):
+                    for x, y in zip(out, (np.full(len(who), cell), np.full(len(who), len(who)), np.arange(len(who)), who, k[i:j][first])):
                         x.append(y)
         if out[0]:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in out], ["cell", "members", "id", "n"])
+            yield batch_of([np.concatenate(x) for x in out])
+
+    def batch_of(columns: list[np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in columns], ["cell", "members", "place", "id", "n"])
+
+    def streamed(rows: list[np.ndarray], sent: int) -> pa.RecordBatch:
+        m = len(rows[0])
+        return batch_of([rows[0], np.full(m, -1), np.arange(sent, sent + m), rows[2], rows[1]])
+
+    kept: list[list[np.ndarray]] = []
+    held, large, sent = 0, None, 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        if large is not None:  # the rest of a large cell
+            cut = int(np.searchsorted(rows[0], large, "right"))
+            if cut:
+                yield streamed([x[:cut] for x in rows], sent)
+                sent += cut
+                rows = [x[cut:] for x in rows]
+            if not len(rows[0]):
+                continue
+            large, sent = None, 0
+        whole = bool(kept) and kept[-1][0][-1] == rows[0][-1] and kept[0][0][0] == rows[0][-1]
+        kept.append(rows)
+        held += len(rows[0])
+        if whole and held <= _WHOLE:
+            continue
+        rows = [np.concatenate(x) for x in zip(*kept)]
+        cut = int(np.searchsorted(rows[0], rows[0][-1]))
+        if cut:
+            yield from cells(*(x[:cut] for x in rows))
+        kept, held = [[x[cut:] for x in rows]], len(rows[0]) - cut
+        if held > _WHOLE:
+            large = rows[0][-1]
+            yield streamed(kept[0], 0)
+            sent, kept, held = held, [], 0
+    if kept:
+        yield from cells(*(np.concatenate(x) for x in zip(*kept)))
 
 
-def _led(batches: Iterator[pa.RecordBatch], done: int, upto: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of unconnected members of a cell, the first of them the ``done``-th to the last before the ``upto``-th.
+def _led(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs of a leading and another member of a cell that may be similar and aren't connected.
 
-    Rows (cell, id, n, root) come sorted by cell and id; the smaller id is the first.
+    Rows (cell, part, other, place, id, n, root, counts) come sorted; of each part of a cell the
+    leading members come first (``other`` 0), and they are all that is held.
     """
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
@@ -282,16 +374,25 @@ def _led(batches: Iterator[pa.RecordBatch], done: int, upto: int, similarity: fl
         b.clear()
         return out
 
-    for cell, ids, n, root in _runs(batches):
-        new = np.flatnonzero(np.diff(cell, prepend=cell[0] - 1))
+    now: tuple[int, int] | None = None
+    lead: list[tuple[int, int, int, int, bytes]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cell, part, other, place, ids, n, root, counts = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        new = np.flatnonzero((np.diff(cell, prepend=cell[0] - 1) != 0) | (np.diff(part, prepend=part[0]) != 0))
         for at, end in zip(new.tolist(), np.append(new[1:], len(cell)).tolist()):
-            for i in range(at + done, min(at + upto, end - 1)):
-                few, many = np.minimum(n[i], n[i + 1 : end]), np.maximum(n[i], n[i + 1 : end])
-                v = ids[i + 1 : end][(root[i + 1 : end] != root[i]) & (few >= similarity * many - 1e-9)]
-                if len(v):
-                    a.append(np.full(len(v), ids[i]))
-                    b.append(v)
-                    held += len(v)
+            if now != (cell[at], part[at]):
+                now, lead = (cell[at], part[at]), []
+            first = at + int(np.searchsorted(other[at:end], 1))
+            lead += zip(place[at:first].tolist(), ids[at:first].tolist(), n[at:first].tolist(), root[at:first].tolist(), counts[at:first])
+            for p, i, size, r, mine in lead:
+                k = np.arange(first, end)[(place[first:end] > p) & (root[first:end] != r)]
+                k = k[may_be_similar(mine, size, counts[k], n[k], similarity)] if len(k) else k
+                if len(k):
+                    a.append(np.minimum(ids[k], i))
+                    b.append(np.maximum(ids[k], i))
+                    held += len(k)
                     if held >= _PAIRS:
                         yield handed()
                         held = 0
@@ -299,19 +400,28 @@ def _led(batches: Iterator[pa.RecordBatch], done: int, upto: int, similarity: fl
         yield handed()
 
 
-def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id``, ``component_id`` of documents that have a near duplicate; all others are left out.
+def text_key(text_col: str = "text"):
+    """The MD5 of a text's bytes (null is empty), by which rows that repeat an id are told apart."""
+    return F.unhex(F.md5(utf8(text_col)))
 
-    Two documents are near duplicates if the sets of their ``words``-word shingles have a Jaccard
-    similarity of ``similarity`` or more; ``component_id`` is the smallest id that such links reach.
-    Candidates share one of their rarest shingles (see ``rarest``), which no similar pair fails to
-    do, and are verified on their shingle sets. Ids are longs; rows with a null id take no part,
-    rows that repeat an id are one document, and texts without a word are alike.
 
-    Documents with equal sets are one. In the cell of a shingle the member with the smallest id is
+def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id``, ``key`` (see ``text_key``), ``component_id`` and ``kept`` of the rows that have a near duplicate.
+
+    Two rows are near duplicates if the sets of their ``words``-word shingles have a Jaccard
+    similarity of ``similarity`` or more; ``component_id`` is the smallest id that such links reach,
+    and ``kept`` tells the one row of each group with that id and, of these, the smallest key. Null
+    ids come after all others; rows that repeat an id are told apart by their texts; texts without a
+    word are alike. Rows without a near duplicate are left out.
+
+    Rows with equal sets are one. SimHash comes first: fingerprints over the shingles, the grid over
+    their popcounts, and the pairs within ``RADIUS`` bits verified on their shingle sets. Similar sets
+    can lie further apart than that, so the rest is found exactly: whatever shares one of its rarest
+    shingles (see ``rarest``, no similar pair fails to) meets in a cell. There the first member is
     compared with the others; then further ones, more in each round, with those that they aren't yet
-    connected to, until each pair of the cell was compared or is connected. So a group of near
-    copies costs comparisons in proportion to its size.
+    connected to, until each pair of the cell was compared or is connected. Counts of shingles by
+    segment give a lower bound of the difference of two sets (see ``segment_counts``); pairs that it
+    doesn't rule out are verified on the sets.
     """
     if not 0 < similarity <= 1:
         raise ValueError("similarity is over 0 and at most 1")
@@ -319,22 +429,23 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
     def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
-                got = [shingle_set(x, words) for x in batch.column(1).slice(at, 500).to_pylist()]
+                got = [shingle_set(x, words) for x in batch.column(0).slice(at, 500).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["shingle"])
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                n, digest, rare = [], [], []
-                for text in part.column(1).to_pylist():
-                    got = shingle_set(text, words)
-                    n.append(len(got))
-                    digest.append(xxhash.xxh3_128_digest(got.tobytes()))
-                    rare.append(rarest(got, similarity, common, count).view(np.int64))
+                hashes = [_hashes(x, words) for x in part.column(2).to_pylist()]
+                fps = _voted(hashes, len(hashes)).view(np.int64)
+                sets = [np.unique(x) for x in hashes]
+                digest = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
+                rare = [rarest(x, similarity, common, count).view(np.int64) for x in sets]
                 ends = pa.array(np.cumsum([0, *map(len, rare)]), pa.int32())
                 lists = pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare)))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], ["id", "n", "digest", "rare"])
+                counts = pa.array(list(map(segment_counts, sets)), pa.binary())
+                columns = [part.column(0), part.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), lists, counts]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "key", "fp", "n", "digest", "rare", "counts"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,6 +454,12 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
                 got = [shingle_set(x, words).tobytes() for x in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], ["id", "shingles"])
 
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            _, _, n, m, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            keep = pa.array([bool(may_be_similar(x[k], n[k], y[k : k + 1], m[k : k + 1], similarity)[0]) for k in range(batch.num_rows)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in range(2)], ["u", "v"])
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = np.zeros(batch.num_rows, bool)
@@ -357,43 +474,84 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in range(2)], ["u", "v"])
 
     def verified(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs whose sets are similar; their texts are read again."""
+        ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+        wanted = ends.join(marks.select("id", "key"), "id")
+        known = texts.join(wanted, "key").select("id", "text").dropDuplicates(["id"]).mapInArrow(sets, "id long, shingles binary")
+        known = stored(known, "shingles")
         one = pairs.join(known.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
         two = one.join(known.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
         return stored(two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "verified")
 
-    def dealt(df: DataFrame, *columns: str) -> DataFrame:
+    def dealt(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
         spark = df.sparkSession
         parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-        return df.repartition(parts, columns[0]).sortWithinPartitions(*columns)
+        return df.repartition(parts, *by).sortWithinPartitions(*order)
 
-    rows = widened(docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), utf8(text_col).alias("text")))
-    few = rows.where(F.pmod(F.xxhash64("id"), F.lit(_SAMPLED)) == 0).mapInArrow(sampled, "shingle long")
+    texts = docs.select(F.col(id_col).alias("row"), text_key(text_col).alias("key"), utf8(text_col).alias("text"))
+    few = texts.select("text", "key").where(F.pmod(F.xxhash64("key"), F.lit(_SAMPLED)) == 0).select("text").mapInArrow(sampled, "shingle long")
     often = few.groupBy("shingle").count().where(F.col("count") >= _COMMON)
     listed = sorted((r["shingle"] % 2**64, r["count"]) for r in often.orderBy(F.desc("count"), "shingle").limit(_LISTED).collect())
     common, count = np.array([x for x, _ in listed], np.uint64), np.array([x for _, x in listed], np.int64)
 
-    marks = stored(rows.mapInArrow(marked, "id long, n long, digest binary, rare array<bigint>"), "marks")
-    least = marks.groupBy("digest").agg(F.min("id").alias("u"))
-    equal = stored(marks.join(least, "digest").where("id <> u").select("u", F.col("id").alias("v")).distinct(), "equal")
+    kind = texts.schema["row"].dataType.simpleString()
+    schema = f"row {kind}, key binary, fp long, n long, digest binary, rare array<bigint>, counts binary"
+    marks = stored(widened(texts).mapInArrow(marked, schema).withColumn("id", F.monotonically_increasing_id()), "marks")
+    least = marks.groupBy("digest").agg(F.min("id").alias("u"), F.count("*").alias("many")).where("many > 1").drop("many")
+    equal = stored(marks.select("id", "digest").join(least, "digest").where("id <> u").select("u", F.col("id").alias("v")), "equal")
     single = marks if equal.isEmpty() else marks.join(equal.select(F.col("v").alias("id")), "id", "left_anti")
-    spread = dealt(single.select(F.explode("rare").alias("shingle"), "n", "id"), "shingle", "n")
-    live = stored(spread.mapInArrow(lambda x: _shared(x, similarity), "cell long, members long, id long, n long").distinct(), "cells")
-    known = stored(rows.join(live.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, shingles binary"), "shingles")
 
-    roots = components(equal)
-    done, upto, tried = 0, _FIRST, None
+    # SimHash: the pairs that the grid finds, and what shares a fingerprint
+    leaders = single.groupBy("fp").agg(F.min("id").alias("lead"))
+    near = links(single).toDF("x", "y")
+    near = near.join(leaders.toDF("x", "u"), "x").join(leaders.toDF("y", "v"), "y").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    same = single.select("id", "fp").join(leaders, "fp").where("id <> lead").select(F.col("lead").alias("u"), F.col("id").alias("v"))
+    side = single.select("id", "n", "counts")
+    both = near.union(same).distinct().join(side.toDF("u", "n", "x"), "u").join(side.toDF("v", "m", "y"), "v").select("u", "v", "n", "m", "x", "y")
+    tried = stored(both.mapInArrow(sift, "u long, v long"), "candidates")
+    roots = components(equal.union(verified(tried)))
+
+    # the rest: cells of rare shingles
+    spread = dealt(single.select(F.explode("rare").alias("shingle"), "n", "id"), ["shingle"], ["shingle", "n"])
+    live = spread.mapInArrow(lambda x: _shared(x, similarity), "cell long, members long, place long, id long, n long").distinct()
+    live = stored(live.join(single.select("id", "counts"), "id").select("cell", "members", "place", "id", "n", "counts"), "cells")
+    if not live.where("members < 0").isEmpty():
+        sizes = live.groupBy("cell").agg((F.max("place") + 1).alias("size"))
+        live = stored(live.join(sizes, "cell").withColumn("members", F.col("size")).drop("size"), "cells")
+    done, upto = 0, _FIRST
     while not live.isEmpty():
-        live = live.join(roots.toDF("id", "root"), "id", "left").select("cell", "members", "id", "n", F.coalesce("root", "id").alias("root"))
-        met = dealt(live.select("cell", "id", "n", "root"), "cell", "id").mapInArrow(lambda x, i=done, j=upto: _led(x, i, j, similarity), "u long, v long").distinct()
-        if tried is not None:
-            met = met.join(tried, ["u", "v"], "left_anti")
+        # cells whose members are all connected are done
+        at = live.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        open_ = at.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+        at = stored(at.join(open_, "cell", "left_semi"), "cells")
+        last = F.expr(f"(members - 1) div {_WHOLE}")
+        leads = at.where((F.col("place") >= done) & (F.col("place") < upto)).withColumn("part", F.explode(F.sequence(F.lit(0), last))).withColumn("other", F.lit(0))
+        rest = at.where(F.col("place") > done).withColumn("part", F.expr(f"place div {_WHOLE}")).withColumn("other", F.lit(1))
+        columns = ["cell", "part", "other", "place", "id", "n", "root", "counts"]
+        met = dealt(leads.select(columns).union(rest.select(columns)), ["cell", "part"], columns[:4])
+        met = met.mapInArrow(lambda x: _led(x, similarity), "u long, v long").distinct().join(tried, ["u", "v"], "left_anti")
         met = stored(met, "candidates")
-        tried = met if tried is None else tried.union(met)
-        links = verified(met)
-        if not links.isEmpty():
-            roots = components(roots.toDF("u", "v").union(links))
-        live = live.select("cell", "members", "id", "n").where(F.col("members") > upto + 1)
-        joined = live.join(roots.toDF("id", "root"), "id", "left").groupBy("cell").agg(F.min(F.coalesce("root", "id")).alias("a"), F.max(F.coalesce("root", "id")).alias("b"))
-        live = stored(live.join(joined.where("a <> b"), "cell", "left_semi"), "cells")
+        tried = tried.union(met)
+        if not met.isEmpty():
+            found = verified(met)
+            if not found.isEmpty():
+                roots = components(roots.toDF("u", "v").union(found))
+        live = at.where(F.col("members") > upto + 1).drop("root")
         done, upto = upto, upto * _GROWTH
-    return roots.select(F.col("node").alias("id"), F.col("root").alias("component_id"))
+    group = marks.select("id", "row", "key").join(roots.toDF("id", "root"), "id")
+    first = group.groupBy("root").agg(F.min(F.struct(F.col("row").isNull().alias("none"), "row", "key", "id")).alias("first"))
+    return group.join(first, "root").select(F.col("row").alias("id"), "key", F.col("first.row").alias("component_id"), (F.col("id") == F.col("first.id")).alias("kept"))
+
+
+def without_similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each group of near duplicates (see ``similar``): the one that is ``kept``."""
+    found = stored(similar(docs, words, similarity, id_col, text_col), "groups")
+    by_row = found.groupBy("id", "key").agg(F.max("kept").alias("kept"), F.count("*").alias("copies"))
+    by_row = by_row.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "kept", "copies")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__of"), text_key(text_col).alias("__text"))
+    same = F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__key"))
+    out = rows.join(by_row.where("NOT kept"), same, "left_anti")
+    again = by_row.where("kept AND copies > 1").select("__id", "__key")
+    if not again.isEmpty():  # rows that repeat both id and text: one of them
+        out = out.join(again, same, "left_anti").union(out.join(again, same, "left_semi").dropDuplicates(["__of", "__text"]))
+    return out.select("__row.*")

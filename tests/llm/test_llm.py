@@ -191,15 +191,79 @@ def test_similar_in_large_cells_equals_brute_force(spark):
 def test_members_of_a_cell_meet_in_rounds():
     n, rng = 40, random.Random(24)
     root = [rng.randrange(4) for _ in range(n)]
-    batch = simhash.pa.RecordBatch.from_arrays([simhash.pa.array(x) for x in ([5] * n, range(n), [100] * n, root)], ["cell", "id", "n", "root"])
+    alike = simhash.segment_counts(np.arange(100, dtype=np.uint64))
+    whole = 16  # rows of a part
     got, done, upto = [], 0, 1
     while done < n:
-        for b in simhash._led(iter([batch]), done, upto, 0.8):
+        rows = [(5, part, 0, k, k, 100, root[k], alike) for k in range(done, min(upto, n)) for part in range((n - 1) // whole + 1)]
+        rows += [(5, k // whole, 1, k, k, 100, root[k], alike) for k in range(done + 1, n)]
+        rows.sort(key=lambda r: r[:4])
+        batches = [simhash.pa.RecordBatch.from_arrays([simhash.pa.array(x) for x in zip(*rows[at : at + 7])], list("abcdefgh")) for at in range(0, len(rows), 7)]
+        for b in simhash._led(iter(batches), 0.8):
             got += zip(*(c.to_pylist() for c in b.columns))
         done, upto = upto, upto * 8
     assert sorted(got) == [(a, b) for a in range(n) for b in range(a + 1, n) if root[a] != root[b]]
 
 
+def test_large_cells_are_handed_on_whole(monkeypatch):
+    monkeypatch.setattr(simhash, "_WHOLE", 10)
+    rows = sorted([(3, 100 + k % 5, k) for k in range(37)] + [(1, 50, 900), (1, 51, 901), (4, 50, 902), (9, 50, 903), (9, 50, 904)])
+    for step in (1, 4, 100):
+        batches = [simhash.pa.RecordBatch.from_arrays([simhash.pa.array(x) for x in zip(*rows[at : at + step])], ["shingle", "n", "id"]) for at in range(0, len(rows), step)]
+        got = [r for b in simhash._shared(iter(batches), 0.8) for r in zip(*(c.to_pylist() for c in b.columns))]
+        cells = collections.defaultdict(list)
+        for cell, members, place, who, _ in got:
+            cells[cell].append((place, who, members))
+        assert sorted(sorted(w for _, w, _ in x) for x in cells.values()) == [list(range(37)), [900, 901], [903, 904]]
+        assert all([p for p, _, _ in x] == list(range(len(x))) for x in cells.values())
+        assert step == 100 or {m for x in cells.values() if len(x) == 37 for _, _, m in x} == {-1}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(0, 3000), st.integers(0, 900), st.integers(0, 900), st.integers(0, 10**6))
+def test_segment_counts_rule_out_no_similar_pair(both, one, two, seed):
+    rng = np.random.default_rng(seed)
+    values = np.unique(rng.integers(0, 2**64, both + one + two, dtype=np.uint64))
+    a, b = values[: both + one], np.concatenate([values[:both], values[both + one :]])
+    counts = [simhash.segment_counts(np.sort(x)) for x in (a, b)]
+    fine = simhash.may_be_similar(counts[0], len(a), [counts[1]], np.array([len(b)]), 0.8)[0]
+    assert fine or min(len(values), both) < 0.8 * len(values)
+
+
+def test_similar_tells_repeated_ids_apart_by_text(spark):
+    rng = random.Random(25)
+    x, y = prose(rng, 100, 5000), prose(rng, 100, 5000)
+    near = x + " more"
+    rows = docs(spark, [x, near, y, None, "", near, near], [1, 1, 1, 5, 6, None, None])
+    got = sorted((r["id"] or -1, r["component_id"], r["kept"]) for r in simhash.similar(rows).collect())
+    assert [(i, c) for i, c, _ in got] == [(-1, 1), (-1, 1), (1, 1), (1, 1), (5, 5), (6, 5)]
+    assert sum(k for *_, k in got) == 2
+    left = {(r["doc_id"], r["text"]) for r in simhash.without_similar(rows).collect()}
+    assert len(left) == 3 and {(1, y), (5, None)} < left and left & {(1, x), (1, near)}
+    again = simhash.without_similar(docs(spark, [x, x, near, y], [1, 1, 2, 3]))
+    assert sorted(r["doc_id"] for r in again.collect()) == [1, 3] and again.columns == rows.columns
+
+
+def test_similar_recall_by_kind_of_edit(spark):
+    rng = random.Random(26)
+    texts, kinds = [], []
+    for k in range(160):
+        base = prose(rng, rng.randint(60, 400), 20000).split()
+        much = max(1, int(len(base) * rng.uniform(0.01, 0.2)))
+        at = rng.randrange(len(base) - much)
+        scattered = list(base)
+        for j in rng.sample(range(len(base)), max(1, much // 6)):
+            scattered[j] = f"e{k}x{j}"
+        edits = [base + [f"a{k}x{j}" for j in range(much)], base[:-much], base[:at] + base[at + much :], scattered]
+        texts += [" ".join(base), " ".join(edits[k % 4])]
+        kinds.append(("appended", "truncated", "cut within", "scattered")[k % 4])
+    links = set(shingle_links(texts))
+    got = similar_components(spark, texts)
+    for kind in set(kinds):
+        pairs = [(2 * k, 2 * k + 1) for k in range(160) if kinds[k] == kind and (2 * k, 2 * k + 1) in links]
+        assert len(pairs) >= 10 and all(got[a] == got[b] for a, b in pairs)
+
+
 # --- exact dedup ---------------------------------------------------------------------------------
 
 

@@ -602,6 +602,35 @@ def test_neighbours(spark):
     assert hits >= 0.9 * 150
     assert neighbours.nearest(df.limit(0)).count() == 0
 
+def test_neighbours_recall_over_several_shards(spark):
+    """Vectors without any structure, of 64 dimensions: the hardest case."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 64)) * 1e25
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in neighbours.nearest(df, shard=1500).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    assert set(got) == set(range(0, 6000, 100))
+    hits = sum(len(set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) & got[q]) for q in got)
+    assert hits >= 0.95 * 600
+
+
+def test_rows_that_repeat_an_id_are_neighbours(spark):
+    df = spark.createDataFrame([(100, [0.0, 1.0]), (100, [0.0, 2.0]), (7, [0.0, 4.0])], "vec_id long, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in neighbours.nearest(df).collect())
+    assert got == [(100, 1, 100, 1.0), (100, 1, 100, 1.0), (100, 2, 7, 2.0), (100, 2, 7, 3.0)]
+
+
+def test_graph_reaches_every_cluster():
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 8)) * 100
+    data = (centres[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8))).astype(np.float32)
+    graph = neighbours.Graph.build(data)
+    found = graph.nearest(data, 1, 64)[:, 0]
+    assert (found == np.arange(4000)).mean() > 0.97
+    assert all(x.shape[0] == 4000 and x.max() < 4000 for x in graph.neighbours)
+
+
 
 # --- the pipeline --------------------------------------------------------------------------------
 

@@ -575,6 +575,48 @@ def test_url_mining(spark):
     assert all(r["confidence"] >= urls.CONFIDENCE and r["support"] >= urls.SUPPORT for r in found) and {"h:spam"} in [set(r["items"]) for r in found]
     assert not any(set(a["items"]) < set(b["items"]) for a in found for b in found)
 
+def test_url_mining_equals_enumerated_token_sets(spark):
+    import itertools
+
+    rng = random.Random(31)
+    rows, marks = [], []
+    for k in range(900):
+        host, section, page = rng.choice("abc"), rng.choice(["x", "y", "z"]), rng.choice(["p", "q"])
+        odds = {("a", "x"): 0.8, ("b", "y"): 0.6, ("c", "z"): 0.45}.get((host, section), 0.15) + (0.2 if page == "p" else 0)
+        rows.append((k, f"http://{host}.com/{section}/{page}", rng.random() < odds))
+        marks.append((k, 1, int(rows[-1][2])))
+    pages = spark.createDataFrame([r[:2] for r in rows], "page_id long, url string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    of, bad = collections.Counter(), collections.Counter()
+    for _, url, b in rows:
+        host, section, page = url[7:].split("/")
+        tokens = ["s:http", "h:com", f"h:{host[0]}", f"p:{section}", f"p:{page}"]
+        for n in range(1, 5):
+            for c in itertools.combinations(sorted(tokens), n):
+                of[c] += 1
+                bad[c] += b
+    base, z = sum(r[2] for r in rows) / 900, urls.SURE
+
+    def low(p, n):
+        return (p + z * z / 2 / n - z * math.sqrt(p * (1 - p) / n + z * z / 4 / n / n)) / (1 + z * z / n)
+
+    good = {c for c in of if bad[c] >= urls.LEAST and bad[c] / of[c] >= urls.CONFIDENCE and low(bad[c] / of[c], of[c]) > base}
+    want = {c for c in good if not any(set(d) < set(c) for d in good)}
+    found = {tuple(r["items"]): r["confidence"] for r in urls.mined(urls.parsed(pages), labels).collect()}
+    assert want and {c: bad[c] / of[c] for c in want} == found
+    out = {r["page_id"]: r["verdict"] for r in urls.judge(pages, labels).collect()}
+    assert all((out[k] == "block") == any(set(c) <= {"s:http", "h:com", f"h:{u[7]}", f"p:{u[13]}", f"p:{u[15]}"} for c in want) for k, u, _ in rows)
+
+
+def test_long_urls_are_mined_and_judged(spark):
+    path = "/".join(f"s{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    rows = [(k, f"http://long.com/{path}/{'bad' if k % 2 else 'fine'}") for k in range(100)]
+    labels = spark.createDataFrame([(k, 1 - k % 2, 0) for k in range(100)], "doc_id long, quality int, toxic int")
+    pages = spark.createDataFrame(rows + [(500, "http://x.com/" + "a/" * 20000), (501, "http://x.com/" + "b" * 100000)], "page_id long, url string")
+    out = {r["page_id"]: r["verdict"] for r in urls.judge(pages, labels).collect()}
+    assert all(out[k] == ("block" if k % 2 else "allow") for k in range(100)) and out[500] == out[501] == "allow"
+
+
 
 # --- neighbours ----------------------------------------------------------------------------------
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -48,7 +48,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        edges, now = _written(_small_star(_large_star(edges)).distinct())
+        before = edges
+        edges, now = _written(_small_star(_large_star(before)).distinct())
+        discard(before)
         if now == seen:
             break
         seen = now

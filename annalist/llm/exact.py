@@ -93,7 +93,6 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     largest id of each group stays; of rows that repeat that id, one. An empty table gives no rows.
     ``digest`` names chunks before they are compared: a poor one costs time, never a wrong group.
     """
-    width = len(digest(b""))
 
     def recipe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -129,7 +128,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if collided.isEmpty():
         named = recipes.withColumn("which", F.lit(""))
     else:
-        named = _told_apart(rows, recipes, collided, digest, width, kind)
+        named = _told_apart(rows, recipes, collided, digest)
     group = ["recipe", "which"]
     best = named.groupBy(*group).agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("group_size"))
     return named.join(best, group).select(
@@ -141,30 +140,30 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _told_apart(rows: DataFrame, recipes: DataFrame, collided: DataFrame, digest: Callable[[bytes], bytes], width: int, kind: str) -> DataFrame:
+def _told_apart(rows: DataFrame, recipes: DataFrame, collided: DataFrame, digest: Callable[[bytes], bytes]) -> DataFrame:
     """``recipes`` with a column ``which``: for every chunk whose hash others share, its number among them."""
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in _batches(batch):
-                ids = part.column(0).to_pylist()
-                out = [(i, hashlib.sha256(t).hexdigest(), k, digest(x), x) for i, t, got in zip(ids, texts, chunks(texts)) for k, x in enumerate(got)]
+            for _, texts in _batches(batch):
+                out = [(hashlib.sha256(t).hexdigest(), k, digest(x), x) for t, got in zip(texts, chunks(texts)) for k, x in enumerate(got)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([x[c] for x in out], t) for c, t in enumerate((part.schema.field(0).type, pa.string(), pa.int64(), pa.binary(), pa.binary()))],
-                    ["id", "sha", "pos", "hash", "chunk"],
+                    [pa.array([x[c] for x in out], t) for c, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))],
+                    ["sha", "pos", "hash", "chunk"],
                 )
 
-    seen = rows.mapInArrow(occurrences, f"id {kind}, sha string, pos long, hash binary, chunk binary").join(collided, "hash", "left_semi")
+    seen = rows.mapInArrow(occurrences, "sha string, pos long, hash binary, chunk binary").join(collided, "hash", "left_semi")
     place = Window.partitionBy("hash").orderBy("chunk")
     apart = seen.select("hash", "chunk").distinct().withColumn("number", F.row_number().over(place))
     told = (
         seen.join(apart, ["hash", "chunk"])
-        .select("id", "sha", F.struct("pos", "number").alias("x"))
+        .select("sha", F.struct("pos", "number").alias("x"))
         .distinct()
-        .groupBy("id", "sha")
+        .groupBy("sha")
         .agg(F.array_sort(F.collect_list("x")).cast("string").alias("which"))
     )
-    return recipes.join(told, ["id", "sha"], "left").withColumn("which", F.coalesce("which", F.lit("")))
+    # by the text's own hash, not by id: ids may be null or repeat
+    return recipes.join(told, "sha", "left").withColumn("which", F.coalesce("which", F.lit("")))
 
 
 def unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

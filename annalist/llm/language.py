@@ -20,8 +20,8 @@ from .common import widened
 
 #: Size of a state, bytes of a window, and windows that are read in step.
 STATE, WINDOW, AT_ONCE = 8, 128, 4096
-#: The sample: documents of each language, windows of each document, and languages, at most.
-DOCUMENTS, WINDOWS, LANGUAGES = 160, 6, 64
+#: The sample: documents of each language, windows of each document, and documents of all languages, at most.
+DOCUMENTS, WINDOWS, SAMPLE = 160, 6, 10_240
 #: Training: windows of a step, steps, step size, and bytes of a training window.
 BATCH, STEPS, RATE, TRAINED = 160, 220, 0.02, 48
 UNKNOWN = "und"
@@ -198,20 +198,21 @@ class Model:
         return out
 
 
-def fit(docs: DataFrame, documents: int = DOCUMENTS, windows: int = WINDOWS) -> Model:
+def fit(docs: DataFrame, documents: int = DOCUMENTS, windows: int = WINDOWS, sample: int = SAMPLE) -> Model:
     """Train on a sample of the documents that aren't held out and whose language isn't null.
 
-    The sample's bound: ``documents`` of each of the ``LANGUAGES`` commonest languages, those of least
-    hash of the id, and ``windows`` stretches of each, spread evenly over the whole text.
+    The sample's bound: ``documents`` of each language, those of least hash of id and text, and
+    ``windows`` stretches of each, spread evenly over the whole text; ``sample`` documents in all, in
+    turn from every language, so that a language is left out only if there are more than that. Rows
+    that repeat id and text count once.
     """
-    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out())
-    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    languages = sorted(r["lang"] for r in most.collect())
-    if not languages:
+    known = docs.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(~held_out()).select("lang", "text", F.xxhash64("doc_id", "text").alias("key"))
+    place = F.dense_rank().over(Window.partitionBy("lang").orderBy("key"))
+    picked = known.select("lang", "key").withColumn("place", place).where(F.col("place") <= documents).distinct()
+    picked = picked.orderBy("place", F.xxhash64("lang"), "lang").limit(sample).select("key").collect()
+    if not picked:
         return Model([], initial(1))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = known.where(F.col("lang").isin(languages)).select("lang", "doc_id").withColumn("place", place).where(F.col("place") <= documents)
-    ids = [r["doc_id"] for r in picked.select("doc_id").collect()]
+    keys = [r["key"] for r in picked]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,8 +229,8 @@ def fit(docs: DataFrame, documents: int = DOCUMENTS, windows: int = WINDOWS) ->
                     langs.append(lang)
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(out, pa.binary())], ["lang", "piece"])
 
-    sample = known.where(F.col("doc_id").isin(ids)).select("lang", "text").mapInArrow(cut, "lang string, piece binary")
-    rows = sorted((r["lang"], bytes(r["piece"])) for r in sample.collect() if r["lang"] in set(languages))
+    rows = known.where(F.col("key").isin(keys)).dropDuplicates(["lang", "key"]).select("lang", "text")
+    rows = sorted((r["lang"], bytes(r["piece"])) for r in rows.mapInArrow(cut, "lang string, piece binary").collect())
     if not rows:
         return Model([], initial(1))
     data = np.frombuffer(b"".join(x for _, x in rows), np.uint8).reshape(len(rows), TRAINED)

@@ -17,6 +17,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ HELD, LONG = 150_000, 48
 ROUNDS, RATE, DAMPED, DECAY, STEP, SCORED, TOGETHER = 2, 0.8, 4.0, 0.25, 1 << 14, 1 << 12, 256
 #: Bytes of text whose tokens are looked up together.
 BYTES = 1 << 18
+#: Tokens that a task of training reads, about, whatever the input and the cluster.
+LEARNED = 4_000_000
 #: Distinct words that a counting task holds before it sends their counts.
 _COUNTED = 400_000
 
@@ -204,21 +207,26 @@ class Trainer:
         self.used = [np.zeros(len(self.rows), np.float32), np.zeros(len(self.words), np.float32)]
         self.steps = [np.zeros(len(self.rows), np.float32), np.zeros(len(self.words), np.float32)]
 
-    def _descend(self, k: int, table: np.ndarray, feature: np.ndarray, grad: np.ndarray, label: np.ndarray) -> None:
+    def _descend(self, k: int, table: np.ndarray, feature: np.ndarray | None, grad: np.ndarray, label: np.ndarray) -> None:
         """A step along the gradient of the rows in use, each weight by its curvature.
 
         The gradient of a weight is what the model expects of its class less what was observed; the
         larger of the two bounds the curvature, so a step never exceeds ``RATE``.
         """
-        order = np.argsort(feature.astype(np.int16 if len(table) <= 1 << 15 else np.int32), kind="stable")
-        ordered = feature[order]
-        starts = np.flatnonzero(np.diff(ordered, prepend=-1))
-        which = ordered[starts]
         width = grad.shape[1]
-        total = np.add.reduceat(grad[order], starts, axis=0)
-        times = np.diff(np.append(starts, len(feature)))
-        cell = np.repeat(np.arange(len(which)) * width, times) + label[order]
-        seen = np.bincount(cell, minlength=len(which) * width).reshape(-1, width).astype(np.float32)
+        if feature is None:  # the bias is active at every token
+            which, times = np.zeros(1, np.int64), np.full(1, len(grad))
+            total = grad.sum(axis=0, keepdims=True)
+            seen = np.bincount(label, minlength=width)[None, :].astype(np.float32)
+        else:
+            order = np.argsort(feature.astype(np.int16 if len(table) <= 1 << 15 else np.int32), kind="stable")
+            ordered = feature[order]
+            starts = np.flatnonzero(np.diff(ordered, prepend=-1))
+            which = ordered[starts]
+            total = np.add.reduceat(grad[order], starts, axis=0)
+            times = np.diff(np.append(starts, len(feature)))
+            cell = np.repeat(np.arange(len(which)) * width, times) + label[order]
+            seen = np.bincount(cell, minlength=len(which) * width).reshape(-1, width).astype(np.float32)
         seen += np.maximum(total, 0)  # the larger of what was observed and what was expected
         seen += DAMPED
         self.steps[k][which] += 1
@@ -234,7 +242,7 @@ class Trainer:
         within /= inner[:, None]
         p[np.arange(len(at)), classes] -= 1
         within[np.arange(len(head)), slot] -= 1
-        for f in (np.zeros(len(at), np.int64), *features):
+        for f in (None, *features):
             self._descend(0, self.rows, f, p, classes)
         if len(head):
             for f in cells:
@@ -268,7 +276,12 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _trained(docs: DataFrame, vocabulary: Vocabulary, rows: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Weights after one round over ``docs`` (``text`` as bytes), each partition starting from the same."""
+    """Weights after one round over ``docs`` (``text`` as bytes), each partition starting from the same.
+
+    Splits of the input are put together to partitions of about ``LEARNED`` tokens, so neither a
+    task's work nor what a lost executor repeats grows with the input, and the weights don't depend
+    on the number of cores. Changes are summed by block, in the order of the partitions.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary.prepare()
@@ -290,13 +303,15 @@ def _trained(docs: DataFrame, vocabulary: Vocabulary, rows: np.ndarray, words: n
                     held, size = [], 0
         if held:
             learn()
+        part = TaskContext.get().partitionId()
         for block, used, change in trainer.changes():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([used], pa.binary()), pa.array([change], pa.binary())], ["block", "used", "change"])
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([part], pa.int32()), pa.array([used], pa.binary()), pa.array([change], pa.binary())], ["block", "part", "used", "change"])
 
-    spark = docs.sparkSession
-    schema = "block int, used binary, change binary"
-    tasks = spark.sparkContext.defaultParallelism
-    got = docs.select("text").coalesce(tasks).mapInArrow(run, schema).repartition(tasks, "block").mapInArrow(_summed, schema)
+    tasks = max(1, round(vocabulary.total / ROUNDS / LEARNED))
+    summing = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = docs.select("text").coalesce(tasks).mapInArrow(run, "block int, part int, used binary, change binary")
+    parts = parts.repartition(summing, "block").sortWithinPartitions("block", "part").select("block", "used", "change")
+    got = parts.mapInArrow(_summed, "block int, used binary, change binary")
     rows, words = rows.copy(), words.reshape(-1, EACH).copy()
     first = -(-len(rows) // TOGETHER)
     for r in got.collect():  # as many as there are blocks of weights

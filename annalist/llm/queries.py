@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 from . import bpe, chat, counts, exact, language, maxent, neighbours, packing, simhash, urls
 from .common import table
 
-#: Where the public vocabulary files are; a parameter of every operator that needs one.
-TOKENIZERS = os.environ.get("ANNALIST_TOKENIZERS", "/opt/tokenizers")
-BYTE_BPE = f"{TOKENIZERS}/byte_bpe_50k.json"
-WORD_BPE = f"{TOKENIZERS}/word_bpe_49k.json"
+def vocabulary(name: str) -> str:
+    """Where a public vocabulary file is; a parameter of every operator that needs one."""
+    if folder := os.environ.get("ANNALIST_TOKENIZERS"):
+        return f"{folder}/{name}"
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"/opt/tokenizers/{name}"
+    return str(public_tokenizers.path(name))
+
+
+BYTE_BPE = vocabulary("byte_bpe_50k.json")
+WORD_BPE = vocabulary("word_bpe_49k.json")
 
 
 #: The explicit URL rules of the query.

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8, widened
+from .common import discard, stored, utf8, widened
 from .components import components
 
 RADIUS = 3
@@ -481,7 +481,9 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
         known = stored(known, "shingles")
         one = pairs.join(known.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
         two = one.join(known.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
-        return stored(two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "verified")
+        out = stored(two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "verified")
+        discard(known)
+        return out
 
     def dealt(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
         spark = df.sparkSession
@@ -516,14 +518,18 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
     live = spread.mapInArrow(lambda x: _shared(x, similarity), "cell long, members long, place long, id long, n long").distinct()
     live = stored(live.join(single.select("id", "counts"), "id").select("cell", "members", "place", "id", "n", "counts"), "cells")
     if not live.where("members < 0").isEmpty():
-        sizes = live.groupBy("cell").agg((F.max("place") + 1).alias("size"))
-        live = stored(live.join(sizes, "cell").withColumn("members", F.col("size")).drop("size"), "cells")
-    done, upto = 0, _FIRST
+        some = live
+        sizes = some.groupBy("cell").agg((F.max("place") + 1).alias("size"))
+        live = stored(some.join(sizes, "cell").withColumn("members", F.col("size")).drop("size"), "cells")
+        discard(some)
+    done, upto, before = 0, _FIRST, live
     while not live.isEmpty():
         # cells whose members are all connected are done
         at = live.join(roots.toDF("id", "root"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         open_ = at.groupBy("cell").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
         at = stored(at.join(open_, "cell", "left_semi"), "cells")
+        discard(before)
+        before = at
         last = F.expr(f"(members - 1) div {_WHOLE}")
         leads = at.where((F.col("place") >= done) & (F.col("place") < upto)).withColumn("part", F.explode(F.sequence(F.lit(0), last))).withColumn("other", F.lit(0))
         rest = at.where(F.col("place") > done).withColumn("part", F.expr(f"place div {_WHOLE}")).withColumn("other", F.lit(1))
@@ -536,6 +542,7 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
             found = verified(met)
             if not found.isEmpty():
                 roots = components(roots.toDF("u", "v").union(found))
+            discard(found)
         live = at.where(F.col("members") > upto + 1).drop("root")
         done, upto = upto, upto * _GROWTH
     group = marks.select("id", "row", "key").join(roots.toDF("id", "root"), "id")

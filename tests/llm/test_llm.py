@@ -617,6 +617,42 @@ def test_long_urls_are_mined_and_judged(spark):
     assert all(out[k] == ("block" if k % 2 else "allow") for k in range(100)) and out[500] == out[501] == "allow"
 
 
+def test_exact_dedup_tells_rows_without_an_id_apart(spark):
+    weak = lambda x: bytes([sum(x) % 3])
+    out = exact.deduplicate(docs(spark, ["ab", "ba", "AB", "ab"], [None, None, 4, None]), digest=weak).collect()
+    assert sorted((r["group_size"], r["keep_id"] or 0, r["kept"]) for r in out) == [(1, 0, True), (3, 4, False), (3, 4, False), (3, 4, True)]
+
+
+def test_every_language_is_sampled(spark):
+    rng = random.Random(40)
+    texts, langs = [], []
+    for k in range(90):  # languages of three documents each, and one document a million times over
+        for _ in range(3):
+            texts.append(" ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}{rng.randrange(9)}" for _ in range(30)))
+            langs.append(f"l{k}")
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 4 != 2][: len(texts)]
+    d = docs(spark, texts + [texts[0]] * 300, ids + [ids[0]] * 300, langs + [langs[0]] * 300)
+    assert len(language.fit(d).languages) == 90
+    assert len(language.fit(d, sample=40).languages) == 40
+
+
+def test_pipeline_without_any_language_keeps_texts(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    d = docs(spark, ["some text", "123", None, "état"], langs=[None] * 4)
+    assert {r["doc_id"] for r in corpus_pipeline.identified(spark, d, str(tmp_path)).collect()} == {0, 3}
+
+
+def test_pipeline_stages_with_repeated_ids_and_a_very_long_text(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(41)
+    long = prose(rng, 200_000, 50_000)
+    x, y = prose(rng, 150, 5000), prose(rng, 150, 5000)
+    d = docs(spark, [long, long + " end", x, y, x, x + " more", None], [1, 2, 3, 3, 3, None, None])
+    d = corpus_pipeline.without_copies(spark, d, str(tmp_path))
+    got = collections.Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.without_near_copies(spark, d, str(tmp_path)).collect())
+    assert got == {(1, long): 1, (3, x): 1, (3, y): 1, (None, None): 1}
+
+
 
 # --- neighbours ----------------------------------------------------------------------------------
 

@@ -19,9 +19,15 @@ LEAST_SCORE = 0.35
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the network can tell: no ``und``, no score below ``LEAST_SCORE``."""
+    """Documents whose language the network can tell: no ``und``, no score below ``LEAST_SCORE``.
+
+    Where no document may be learned from, there is no network, and every text with a letter stays.
+    """
+    model = language.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    told = language.identify(rows, language.fit(docs), carry=("row",))
+    told = language.identify(rows, model, carry=("row",))
     fine = (F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)
     return told.where(fine).select("row.*")
 

@@ -228,11 +228,13 @@ def as_hex(column: str = "fp"):
 #: documents, the ``_LISTED`` commonest. Which pairs are found doesn't depend on it, only how many are tried.
 _SAMPLED, _COMMON, _LISTED = 8, 4, 1 << 17
 #: So many members of a cell are held against all others in the first round, and times as many after each round.
-_FIRST, _GROWTH = 1, 8
+_FIRST, _GROWTH = 1, 32
 #: Rows of one cell that a task gathers, or holds against the leading members; larger cells are split.
 _WHOLE = 1 << 16
 #: Pairs that are handed on at once.
 _PAIRS = 1 << 16
+#: Bits of the filter (their logarithm) that tells whose texts a verification reads, at most: 16 MB.
+_BITS = 27
 #: Segments of a set's counts: a power of two between an eighth and a quarter of its size, within these bounds.
 _FEWEST, _MOST = 16, 1 << 14
 
@@ -400,6 +402,25 @@ def _led(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.Re
         yield handed()
 
 
+def _place(bits: int):
+    """The bit of a filter of ``bits`` bits that stands for a key."""
+    return F.pmod(F.xxhash64("key"), F.lit(bits))
+
+
+def _filter(wanted: DataFrame) -> tuple[int, np.ndarray]:
+    """A bitmap with the bits of all keys of ``wanted``; at most ``_BITS`` bits whatever their number.
+
+    What passes it is joined by key afterwards, so a full one costs time only.
+    """
+    bits = 1 << min(_BITS, max(15, (32 * wanted.count()).bit_length()))
+    at = _place(bits) + 1
+    maps = wanted.groupBy(F.bitmap_bucket_number(at).alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m"))
+    out = np.zeros(bits // 8, np.uint8)
+    for r in maps.collect():  # 4096 bytes each, at most bits / 32768 of them
+        out[(r["n"] - 1) * 4096 : r["n"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return bits, out
+
+
 def text_key(text_col: str = "text"):
     """The MD5 of a text's bytes (null is empty), by which rows that repeat an id are told apart."""
     return F.unhex(F.md5(utf8(text_col)))
@@ -447,13 +468,6 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
                 columns = [part.column(0), part.column(1), pa.array(fps), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), lists, counts]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "key", "fp", "n", "digest", "rare", "counts"])
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                got = [shingle_set(x, words).tobytes() for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], ["id", "shingles"])
-
     def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             _, _, n, m, x, y = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
@@ -474,15 +488,25 @@ def similar(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: st
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in range(2)], ["u", "v"])
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs whose sets are similar; their texts are read again."""
+        """Those of the pairs whose sets are similar; texts are read again, and only the sets of the pairs' members move."""
         ends = pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct()
-        wanted = ends.join(marks.select("id", "key"), "id")
-        known = texts.join(wanted, "key").select("id", "text").dropDuplicates(["id"]).mapInArrow(sets, "id long, shingles binary")
-        known = stored(known, "shingles")
+        wanted = stored(ends.join(marks.select("id", "key"), "id"), "wanted")
+        bits, member = _filter(wanted)
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = batch.column(1).to_numpy()
+                for rows in np.array_split(np.flatnonzero(member[at >> 3] >> (at & 7).astype(np.uint8) & 1), 1 + batch.num_rows // 500):
+                    part = batch.take(pa.array(rows))
+                    got = [shingle_set(x, words).tobytes() for x in part.column(2).to_pylist()]
+                    yield pa.RecordBatch.from_arrays([part.column(0), pa.array(got, pa.binary())], ["key", "shingles"])
+
+        found = texts.select("key", _place(bits).alias("at"), "text").mapInArrow(sets, "key binary, shingles binary")
+        known = stored(found.join(wanted, "key").dropDuplicates(["id"]).select("id", "shingles"), "shingles")
         one = pairs.join(known.select(F.col("id").alias("u"), F.col("shingles").alias("a")), "u")
         two = one.join(known.select(F.col("id").alias("v"), F.col("shingles").alias("b")), "v")
         out = stored(two.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long"), "verified")
-        discard(known)
+        discard(known, wanted)
         return out
 
     def dealt(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -187,15 +188,21 @@ _ALNUM = re.compile(r"[^\W_]+")
 
 def simhash_of(text: str | None) -> int:
     """64-bit SimHash of the lower-cased words of ``text``, as a signed long; 0 without words."""
-    votes = [0] * 64
-    for word in _ALNUM.findall((text or "").lower()):
-        h = fnv64(word.encode())
-        for b in range(64):
-            votes[b] += 1 if h >> b & 1 else -1
-    h = sum(1 << b for b in range(64) if votes[b] > 0)
-    return h - (1 << 64) if h >> 63 else h
+    hashes = np.array([fnv64(word.encode()) for word in _ALNUM.findall((text or "").lower())], np.uint64)
+    ones = sum((_ones(hashes[k : k + 65536]) for k in range(0, len(hashes), 65536)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes set each bit."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+# How lines of a commit message begin that say nothing about the change.
+TRAILERS = (
+    "co-authored-by:", "signed-off-by:", "reviewed-by:", "acked-by:", "tested-by:", "reported-by:", "cc:", "fixes:", "closes:", "refs:", "see-also:", "author:", "date:",
+)
+
 # --- what commit messages say --------------------------------------------------------------------
 
 
@@ -214,6 +221,57 @@ def conventional_kind(title: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(title, F.lit("")), r"^([A-Za-z]+)(?:\([^)]*\))?!?: ", 1))
 
 
+def ascii_lower(text: Column) -> Column:
+    """A-Z lowered, and nothing else: comparisons of texts and levels see no other case."""
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def lowered(text: str) -> str:
+    """``ascii_lower`` of a value."""
+    return text.translate({c: c + 32 for c in range(65, 91)})
+
+
+def top_segments(entities: Column) -> Column:
+    """The distinct first segments of an event's entities, sorted."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(entities, lambda x: F.split_part(x, F.lit("/"), F.lit(1))), lambda x: x != "")))
+
+
+def short_id(ident: Column, length: int = 8) -> Column:
+    """The first characters of an id, as lists show it."""
+    return F.left(ident, F.lit(length))
+
+
+def longest_literal(template: Column, most: int = 70) -> Column:
+    """The longest stretch of a template between its marks, without blanks and brackets around it; the first of equals."""
+    parts = F.split(F.coalesce(template, F.lit("")), "<[^>]*>?")
+    sized = F.transform(parts, lambda x, i: F.struct(F.length(F.trim(x)).alias("n"), (-i).alias("i"), x.alias("x")))
+    best = F.array_max(sized)["x"]
+    return F.left(F.regexp_replace(best, r'^[\s\[\]():,"]+|[\s\[\]():,"]+$', ""), F.lit(most))
+
+
+def clean_body(body: Column) -> Column:
+    """The lines of a message that say something: no empty ones, no trailers, none with an address."""
+    lines = F.transform(F.split(F.coalesce(body, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[\t\r]", " ")))
+    low = lambda x: F.lower(x)
+    kept = F.filter(lines, lambda x: (x != "") & ~low(x).rlike("^(" + "|".join(map(re.escape, TRAILERS)) + ")") & ~low(x).contains("noreply") & ~low(x).contains("://"))
+    return F.array_join(kept, "\n")
+
+
+def closest(name: str, known: list[str], most: int = 2) -> str | None:
+    """The one of ``known`` with the least edit distance to ``name``, the first of equals; None if all differ by more than ``most``."""
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            left, row[0] = row[0], i + 1
+            for j, y in enumerate(b):
+                left, row[j + 1] = row[j + 1], min(left + (x != y), row[j] + 1, row[j + 1] + 1)
+        return row[-1]
+
+    found = min(((distance(name, k), i, k) for i, k in enumerate(known)), default=(most + 1, 0, ""))
+    return found[2] if found[0] <= most else None
+
+
 def top_dir(entity: Column) -> Column:
     """The first two segments of a path; ``(root)`` for a single one."""
     parts = F.split(entity, "/")

@@ -59,3 +59,14 @@ def parsed_ms(text: Column) -> Column:
     strict = text.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}([.,]\d+)?(Z|[+-]\d{2}:?\d{2})?$")
     stamp = F.try_to_timestamp(F.when(strict, F.regexp_replace(F.regexp_replace(text, ",", "."), r"([+-]\d{2})(\d{2})$", "$1:$2")))
     return F.coalesce(number, F.floor(F.unix_micros(stamp) / 1000).cast("long"))
+
+
+def utc_date(at_ms: Column) -> Column:
+    """The day of a time in UTC, ``YYYY-MM-DD``."""
+    return F.date_format(F.timestamp_millis(at_ms), "yyyy-MM-dd")
+
+
+def day_of(job: Column, at_ms: Column) -> Column:
+    """The day that a job's name begins with (eight digits), else that of its time."""
+    day = F.concat_ws("-", F.substring(job, 1, 4), F.substring(job, 5, 2), F.substring(job, 7, 2))
+    return F.when(job.rlike("^[0-9]{8}"), day).otherwise(utc_date(at_ms))

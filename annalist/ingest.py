@@ -125,7 +125,7 @@ def without_secrets(records: DataFrame) -> DataFrame:
         return maps.map(lambda m: m if m is None else {k: T.SECRET if T.sensitive(k) and v else T.redacted(v)[0] for k, v in dict(m).items()})
 
     risky = F.exists(F.map_entries("attrs"), lambda e: F.lower(e["key"]).rlike(names) | F.lower(e["value"]).rlike(names + "|eyj|://|akia|bearer|basic|begin|gh[a-z]_|xox|sk-"))
-    return records.withColumn("title", T.redact(F.col("title"))).withColumn("body", T.redact(F.col("body"))).withColumn("attrs", F.when(risky, clean(F.col("attrs"))).otherwise(F.col("attrs")))
+    return records.withColumn("title", T.redact(F.col("title"))).withColumn("body", T.redact(F.col("body"))).withColumn("attrs", F.coalesce(clean(F.when(risky, F.col("attrs"))), F.col("attrs")))
 
 
 def via(records: DataFrame, rel: str) -> DataFrame:
@@ -154,7 +154,7 @@ def numbered(records: DataFrame, base: int = 0) -> DataFrame:
 
 def labels_of(events: DataFrame, options: Options) -> DataFrame:
     """Labels of commits by rules: kind, is_fix, bug_category. One label of a task for each event."""
-    low = F.lower(F.concat_ws("\n", "title", "body"))
+    low = F.lower(F.concat_ws("\n", F.col("title"), T.clean_body(F.col("body"))))
     has = lambda ws: reduce(lambda a, b: a | b, [low.contains(w) for w in ws], F.lit(False))
     kind = T.conventional_kind(F.col("title"))
     sure = (kind == "fix") | (T.reverted(F.col("body")) != "")
@@ -188,7 +188,7 @@ def ingest(records: DataFrame, options: Options = Options(), base: int = 0) -> S
     inferred = F.when((F.col("level") == "") & (F.col("kind") != "commit"), T.inferred_level(F.col("title"))).otherwise(F.col("level"))
     rows = rows.withColumn("dims", F.map_filter("attrs", lambda k, v: F.array_contains(declared, k))).withColumn("attrs", F.map_filter("attrs", lambda k, v: ~F.array_contains(declared, k)))
     rows = rows.withColumn("level_inf", inferred).withColumn("template", T.templatize(F.col("title"))).withColumn("touches_n", F.size("touches")).withColumn("is_bulk", F.size("touches") > 50)
-    rows = rows.withColumn("simhash", F.when(F.col("kind") == "commit", T.simhash(F.concat_ws("\n", "title", "body"))).otherwise(0).cast("long"))
+    rows = rows.withColumn("simhash", T.simhash(F.when(F.col("kind") == "commit", F.concat_ws("\n", "title", "body"))).cast("long"))
     touched = rows.select("rid", F.explode("touches").alias("t"))
     touches = touched.groupBy("rid", F.col("t.entity").alias("entity")).agg(F.sum("t.weight").alias("weight"), F.sum("t.added").alias("added"), F.sum("t.deleted").alias("deleted")).withColumn("attrs", F.create_map().cast("map<string,string>"))
     entities = touched.groupBy(F.col("t.entity").alias("entity")).agg(F.min("t.type").alias("type")).select("entity", "type", F.lit(0).cast("long").alias("size"), F.lit(False).alias("deleted"), excluded(F.col("entity"), options.excluded).alias("excluded"))

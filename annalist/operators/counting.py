@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -177,6 +179,33 @@ def untimed_events(store: Store, scope: Scope = Scope()) -> DataFrame:
     return scope.apply(store).where("at_ms <= 0").groupBy("source").agg(F.count("*").alias("untimed"))
 
 
+def other_timed_sources(store: Store, event_id: str) -> DataFrame:
+    """``sources``: how many sources have timed events beside that of an event; no row without the event."""
+    own = store.events.where(F.col("id") == event_id).orderBy("rid").limit(1).select(F.col("source").alias("own"))
+    timed = store.events.where("at_ms > 0").select("source").distinct()
+    met = own.join(timed, timed["source"] != own["own"], "left")  # one row against the names of sources
+    return met.groupBy("own").agg(F.count("source").alias("sources")).select("sources")
+
+
+def index_hash(store: Store) -> DataFrame:
+    """``hash``: eight hex digits that change if an event comes or goes, or a source's last time moves."""
+    parts = store.events.groupBy("source").agg(F.count("*").alias("n"), F.max("rid").alias("last"), F.max("at_ms").alias("upto"))
+    state = F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "source", "n", "last", "upto"))), ",")
+    return parts.agg(F.left(F.md5(state.cast("binary")), F.lit(8)).alias("hash"))
+
+
+def show(store: Store, prefix: str) -> DataFrame:
+    """``field``, ``value`` of the first event by id whose id starts with ``prefix``: its columns, entities, links and attributes."""
+    one = store.events.where(F.col("id").startswith(prefix)).orderBy("id").limit(1)
+    fields = ["id", "source", "kind", "at_ms", "actor", "title", "body", "level", "template"]
+    own = one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("value")) for c in fields))).alias("x")).select("x.*")
+    named = [one.select(F.explode(c).alias("k", "value")).select(F.concat(F.lit("attr:"), "k").alias("field"), "value") for c in ("attrs", "dims")]
+    touched = store.touches.join(one.select("rid"), "rid", "left_semi").select(F.lit("entity").alias("field"), F.col("entity").alias("value"))
+    linked = store.links.join(one.select("rid"), "rid", "left_semi").select(F.concat(F.lit("link:"), "rel").alias("field"), F.col("target").alias("value"))
+    labelled = store.labels.join(one.select("rid"), "rid", "left_semi").select(F.concat(F.lit("label:"), "task").alias("field"), F.col("label").alias("value"))
+    return reduce(DataFrame.unionByName, [own, *named, touched, linked, labelled]).where("value IS NOT NULL AND value <> ''")
+
+
 def sources_of_kind(store: Store, kind: str) -> DataFrame:
     """Sources that have events of ``kind``."""
     return store.events.where(F.col("kind") == kind).groupBy("source").agg(F.count("*").alias("events"))

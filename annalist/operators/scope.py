@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_lower, lowered
 from ..model import Store
 
 _KEY = re.compile(r"[A-Za-z0-9_.\-]+", re.A)
@@ -96,9 +97,9 @@ class Scope:
                 some |= _prefixed(F.col("kind"), x)
             out &= some
         if self.level:
-            out &= F.upper(self.level_column()).isin([x.upper() for x in listed(self.level)])
+            out &= ascii_lower(self.level_column()).isin([lowered(x) for x in listed(self.level)])
         if self.grep:
-            out &= F.lower("title").contains(self.grep.lower())
+            out &= ascii_lower(F.col("title")).contains(lowered(self.grep))
         for x in self.attr:
             key, value = self._split(x)
             out &= attribute(key).isNotNull() if value == "*" else _prefixed(attribute(key), value)

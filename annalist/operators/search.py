@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import words
+from ..functions.text import ascii_lower, lowered, words
 from ..model import Store
 
 K1, B = 1.2, 0.75
@@ -40,19 +42,20 @@ def search(store: Store, text: str, limit: int = 25) -> DataFrame:
     """Events whose title and body hold ``text`` as a phrase of words, by BM25.
 
     Case and accents don't matter. If no event does, those that hold it as a plain substring, A-Z in
-    either case, latest first.
+    either case, latest first. The ranked rows, ``limit`` at most, are worked out at once.
     """
-    tokens = [r[0] for r in store.events.sparkSession.createDataFrame([(text,)], "t string").select(F.explode(words(F.col("t")))).collect()]
+    spark = store.events.sparkSession
+    tokens = [r[0] for r in spark.createDataFrame([(text,)], "t string").select(F.explode(words(F.col("t")))).collect()]
     both = F.concat_ws(" ", "title", "body")
     shown = ["id", "source", "kind", "at_ms", "title"]
     if tokens:
         phrase = " " + " ".join(tokens) + " "
         holds = F.concat(F.lit(" "), F.array_join(words(both), " "), F.lit(" ")).contains(phrase)
         ranked = bm25(store.events.select("rid", both.alias("text")), tokens, None)
-        found = store.events.where(holds).join(ranked, "rid").orderBy(F.desc("score"), "rid").limit(limit)
-        if not found.isEmpty():
-            return found.select(*shown, "score")
-    plain = store.events.where(F.lower(both).contains(text.lower()))
+        found = store.events.where(holds).join(ranked, "rid").orderBy(F.desc("score"), "rid").limit(limit).select(*shown, "score")
+        if rows := found.collect():
+            return spark.createDataFrame(rows, found.schema)
+    plain = store.events.where(ascii_lower(both).contains(lowered(text)))
     return plain.orderBy(F.desc("at_ms"), "id").limit(limit).select(*shown, F.lit(0.0).alias("score"))
 
 
@@ -71,13 +74,24 @@ def similar(store: Store, prefix: str, most: int = 4, limit: int = 15) -> DataFr
 def similar_pairs(hashes: DataFrame, most: int = 3) -> DataFrame:
     """``a``, ``b``, ``distance``: pairs of distinct hashes within ``most`` (up to 3) bits, and how far.
 
-    ``hashes`` has ``rid``, ``h``; each distinct hash is one node, named by its smallest rid. Of four
-    bands of 16 bits two such hashes share one.
+    ``hashes`` has ``rid``, ``h``; each distinct hash is one node, named by its smallest rid. The bits
+    that aren't the same in all hashes are cut into ``n`` bands; two such hashes agree on all but
+    ``most`` bands, so each is filed under every choice of ``n - most`` of them. ``n`` is the least
+    with which a choice has bits enough to tell as many hashes apart as there are, so cells stay small
+    however many hashes there are and however few of their bits vary.
     """
     if most > 3:
-        raise ValueError("four bands find at most 3 differing bits")
+        raise ValueError("at most 3 differing bits")
     nodes = hashes.groupBy("h").agg(F.min("rid").alias("rid"))
-    banded = nodes.select("rid", "h", F.posexplode(F.array(*(F.shiftrightunsigned("h", 16 * k).bitwiseAND(F.lit(65535)) for k in range(4)))).alias("band", "v"))
-    left, right = banded.toDF("a", "ha", "band", "v"), banded.toDF("b", "hb", "band", "v")
+    count, every, some = nodes.agg(F.count("*"), F.bit_and("h"), F.bit_or("h")).first()
+    varying = [k for k in range(64) if count and ((every ^ some) >> k) & 1]
+    bands = most + 1
+    while bands < min(most + 7, len(varying)) and len(varying) * (bands - most) // bands < count.bit_length():
+        bands += 1
+    masks = [sum(1 << k for k in varying[i::bands]) for i in range(bands)]
+    keys = [sum(x) for x in itertools.combinations(masks, bands - most)] if varying else [0]
+    signed = [m - (1 << 64) if m >> 63 else m for m in keys]
+    filed = nodes.select("rid", "h", F.posexplode(F.array(*(F.col("h").bitwiseAND(F.lit(m)) for m in signed))).alias("band", "v"))
+    left, right = filed.toDF("a", "ha", "band", "v"), filed.toDF("b", "hb", "band", "v")
     met = left.join(right, ["band", "v"]).where("a < b").withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= most)
     return met.select("a", "b", "distance").distinct()

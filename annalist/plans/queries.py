@@ -11,11 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..ingest import ingest
+from ..functions import times
+from ..ingest import Options, ingest, labels_of, via
 from ..model import Store
 from ..operators import code, counting, episodes, process, relations, reports, search
 from ..operators.scope import Scope
-from ..sources import jsonl, text
+from ..sources import commands, jsonl, text
 from . import rollups, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -280,9 +281,18 @@ query("jobs_audit", """SELECT state, count(*) AS jobs FROM (SELECT CASE WHEN a.j
 # --- texts ---------------------------------------------------------------------------------------
 
 _DOC = "d AS (SELECT doc_id AS rid, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents)"
-query("search_fallback", f"WITH {_DOC} SELECT rid FROM d WHERE low LIKE '%the of%'")(
-    lambda spark, d: tables.read(spark, d, "documents").where(F.lower("text").contains("the of")).select(F.col("doc_id").alias("rid")))
-query("search_phrase", None)(lambda spark, d: search.search(tables.text_store(spark, d), "the and of"))
+_WORDS = r"list_filter(regexp_split_to_array(translate(lower({0}), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_AZ = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TEXTS = r"x AS (SELECT doc_id AS rid, 'doc:' || doc_id AS id, coalesce(source, '') AS source, split_part(coalesce(text, ''), chr(10), 1) AS title, CASE WHEN instr(coalesce(text, ''), chr(10)) > 0 THEN regexp_replace(text, chr(10), ' ') ELSE coalesce(text, '') || ' ' END AS both_ FROM documents)"
+query("search_fallback", f"WITH {_TEXTS} SELECT id, source, 'doc' AS kind, 0 AS at_ms, title, 0.0::DOUBLE AS score FROM x WHERE {_AZ.format('both_')} LIKE '%e of th%' ORDER BY id LIMIT 25")(
+    lambda spark, d: search.search(tables.text_store(spark, d), "e oF th"))
+_IDF = "greatest(ln((docs - d{0} + 0.5) / (d{0} + 0.5)), 1e-6) * t{0} * 2.2 / (t{0} + 1.2 * (0.25 + 0.75 * n / mean))"
+query("search_phrase", f"""WITH {_TEXTS}, w AS (SELECT *, {_WORDS.format('both_')} AS t FROM x),
+    c AS (SELECT *, len(t) AS n, len(list_filter(t, lambda x: x = 'and')) AS t0, len(list_filter(t, lambda x: x = 'the')) AS t1 FROM w),
+    g AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (t0 > 0) AS d0, count(*) FILTER (t1 > 0) AS d1 FROM c)
+    SELECT id, source, 'doc' AS kind, 0 AS at_ms, title, round({_IDF.format(0)} + {_IDF.format(1)}, 6) AS score FROM c, g
+    WHERE ' ' || array_to_string(t, ' ') || ' ' LIKE '% and the %' ORDER BY {_IDF.format(0)} + {_IDF.format(1)} DESC, rid LIMIT 25""")(
+    lambda spark, d: search.search(tables.text_store(spark, d), "And, the").withColumn("score", F.round("score", 6)))
 query("search_bm25", r"""WITH w AS (SELECT doc_id AS rid, list_filter(regexp_split_to_array(translate(lower(coalesce(text, '')), 'áàâäãåéèêëíìîïóòôöõúùûüñçýÿ', 'aaaaaaeeeeiiiiooooouuuuncyy'), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS t FROM documents),
     c AS (SELECT rid, len(t) AS n, len(list_filter(t, lambda x: x = 'with')) AS a, len(list_filter(t, lambda x: x = 'que')) AS b FROM w),
     g AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
@@ -296,8 +306,8 @@ query("tickets_extract", r"""SELECT conv_id, turn, regexp_extract_all('see ABC-'
 query("templatize_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.templatize(F.col("text")).alias("template")))
 query("redact_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.redact(F.col("text")).alias("text"), T.secrets(F.col("text")).alias("secrets")))
 query("simhash_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.simhash(F.col("text")).alias("simhash")))
-_HASHED = "h AS (SELECT event_id AS rid, event_id * 2654435761 % 65536 + (user_id % 7) * 65536 AS h FROM events)"
-_hashes = lambda spark, d: tables.read(spark, d, "events").select(F.col("event_id").alias("rid"), (F.col("event_id") * 2654435761 % 65536 + (F.col("user_id") % 7) * 65536).alias("h"))
+_HASHED = "h AS (SELECT event_id AS rid, event_id * 2654435761 % 65536 + (user_id % 7) * 144115188075855872 AS h FROM events)"
+_hashes = lambda spark, d: tables.read(spark, d, "events").select(F.col("event_id").alias("rid"), (F.col("event_id") * 2654435761 % 65536 + (F.col("user_id") % 7) * 144115188075855872).alias("h"))
 query("similar_hamming", f"WITH {_HASHED} SELECT 'ev:' || a.rid AS id, bit_count(xor(a.h, b.h)) AS distance FROM h a, h b WHERE b.rid = 50 AND a.rid <> 50 AND a.h <> 0 AND bit_count(xor(a.h, b.h)) <= 4 ORDER BY 2, a.rid LIMIT 15")(
     lambda spark, d: search.similar(_with_hashes(spark, d), "ev:50 ").select("id", F.col("distance").cast("int").alias("distance")))
 
@@ -388,3 +398,116 @@ def _dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
 _log("rollup_top_kind", f"SELECT kind AS value, count(*) AS count FROM ev WHERE at_ms >= {FROM} AND at_ms < {TO} AND level = 'INFO' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25", lambda s: rollups.top_from(rollups.build(s), s, "kind", Scope(since=FROM, until=TO, level="INFO")))
 _log("report_logs", None, lambda s: reports.log_report(s))
 query("report_code")(lambda spark, d: reports.code_report(tables.order_store(spark, d), _part(spark, d)))
+
+# --- templates, days, ids -------------------------------------------------------------------------
+
+
+def _templated(s: Store) -> Store:
+    """The log events with the templates that their titles give, not those that the projection knows."""
+    return Store.of(s.events.withColumn("template", T.templatize(F.col("title"))), touches=s.touches, links=s.links, labels=s.labels, entities=s.entities)
+
+
+_log("patterns_templatized", "SELECT template, count(*) AS count, arg_max(id, rid) AS example_id FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25", lambda s: counting.patterns(_templated(s)).select("template", "count", "example_id"))
+_log("utc_days", "SELECT strftime(make_timestamp(at_ms * 1000), '%Y-%m-%d') AS day, count(*) AS events FROM ev GROUP BY 1", lambda s: s.events.groupBy(times.utc_date(F.col("at_ms")).alias("day")).agg(F.count("*").alias("events")))
+query("job_days", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN '2024-05-' || lpad((o_orderkey % 28 + 1)::VARCHAR, 2, '0') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, count(*) AS jobs FROM orders GROUP BY 1")(
+    lambda spark, d: tables.read(spark, d, "orders").groupBy(times.day_of(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("202405"), F.lpad((F.col("o_orderkey") % 28 + 1).cast("string"), 2, "0"), F.lit("-job"))).otherwise(F.concat(F.lit("j2024-"), F.col("o_orderkey").cast("string"))), tables.ms("o_orderdate")).alias("day")).agg(F.count("*").alias("jobs")))
+_log("short_ids", "SELECT left(id, 8) AS short, count(*) AS events FROM ev GROUP BY 1", lambda s: s.events.groupBy(T.short_id(F.col("id")).alias("short")).agg(F.count("*").alias("events")))
+_log("longest_literals", "SELECT kind || ' value' AS literal, count(*) AS events FROM ev GROUP BY 1", lambda s: s.events.groupBy(T.longest_literal(F.concat(F.lit("<TS> ["), "kind", F.lit(" value]: <NUM> x"))).alias("literal")).agg(F.count("*").alias("events")))
+query("top_segments", "SELECT o_orderkey AS rid, array_to_string(list_sort(list_distinct(['a' || o_custkey % 3, 'b', o_orderstatus])), ',') AS segments FROM orders")(
+    lambda spark, d: tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("rid"), F.array_join(T.top_segments(F.array(F.concat(F.lit("a"), (F.col("o_custkey") % 3).cast("string"), F.lit("/x/y")), F.lit("b"), F.concat_ws("/", "o_orderstatus", F.lit("z")), F.lit("/"), F.lit("b/c"))), ",").alias("segments")))
+query("clean_bodies", "SELECT o_orderkey AS rid, 'keep ' || o_custkey || chr(10) || 'last' AS body FROM orders")(
+    lambda spark, d: tables.read(spark, d, "orders").select(F.col("o_orderkey").alias("rid"), T.clean_body(F.concat(F.lit("  keep "), F.col("o_custkey").cast("string"), F.lit("\n\nSigned-off-by: a\nCloses: #1\nsee https://x.org\nusers.noreply.x\r\n\tlast "))).alias("body")))
+query("check_other_sources", "SELECT count(DISTINCT role) - 1 AS sources FROM conversations")(
+    lambda spark, d: counting.other_timed_sources(tables.chat_store(spark, d), tables.chat_store(spark, d).events.orderBy("rid").first()["id"]))
+_log("index_hash", "SELECT left(md5('events=' || count(*) || '=' || max(rid) || '=' || max(at_ms)), 8) AS hash FROM ev", lambda s: counting.index_hash(s))
+_log("show", """, e AS (SELECT * FROM ev WHERE id LIKE 'ev:1%' ORDER BY id LIMIT 1), f AS (
+    SELECT unnest([{'field': 'id', 'value': id}, {'field': 'source', 'value': source}, {'field': 'kind', 'value': kind}, {'field': 'at_ms', 'value': at_ms::VARCHAR}, {'field': 'actor', 'value': actor}, {'field': 'title', 'value': title},
+        {'field': 'level', 'value': level}, {'field': 'template', 'value': template}, {'field': 'attr:k', 'value': k}, {'field': 'entity', 'value': entity}, {'field': 'link:user', 'value': usr}]) AS x FROM e)
+    SELECT x.field AS field, x.value AS value FROM f WHERE x.value <> ''""", lambda s: counting.show(s, "ev:1").where("field <> 'attr:value'"))
+
+# --- sources and steps of ingest, written as lines and read back -----------------------------------
+
+
+def _order_lines(spark: SparkSession, sf_dir: str, line) -> DataFrame:  # noqa: ANN001
+    return tables.read(spark, sf_dir, "orders").withColumn("ms", tables.ms("o_orderdate")).select(line.alias("line"), F.concat(F.lit("f"), F.col("o_orderkey").cast("string")).alias("file"), F.col("o_orderkey").alias("place"))
+
+
+_iso = lambda c: F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+_text = lambda c: F.col(c).cast("string")
+
+
+@query("source_changelog", "SELECT 'v' || o_orderkey || '.0' AS title, epoch_us(date_trunc('day', o_orderdate)) // 1000 AS at_ms, 2 AS sections, 3 AS bullets FROM orders")
+def _changelog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.concat(F.lit("# Changes\n\n## [v"), _text("o_orderkey"), F.lit(".0] - "), F.date_format(F.timestamp_millis("ms"), "yyyy-MM-dd"), F.lit("\n\n### Added\n- a\n- b\n\n### Fixed\n* c\n\n### Empty\n"))
+    out = text.changelog(_order_lines(spark, sf_dir, line))
+    return out.select("title", "at_ms", F.size("touches").alias("sections"), F.aggregate("touches", F.lit(0).cast("long"), lambda n, t: n + t["weight"]).alias("bullets"))
+
+
+_SEVERITY = "CASE event_id % 8 WHEN 0 THEN 'EMERG' WHEN 1 THEN 'ALERT' WHEN 2 THEN 'CRIT' WHEN 3 THEN 'ERROR' WHEN 4 THEN 'WARN' WHEN 5 THEN 'NOTICE' WHEN 6 THEN 'INFO' ELSE 'DEBUG' END"
+
+
+@query("source_journal", _BACK.format("epoch_us(ts) // 1000", _SEVERITY))
+def _journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    line = F.to_json(F.struct(F.col("event_type").alias("MESSAGE"), (F.col("event_id") % 8).cast("string").alias("PRIORITY"), (F.col("ms") * 1000).cast("string").alias("__REALTIME_TIMESTAMP"), _who().alias("SYSLOG_IDENTIFIER")))
+    return _read(text.journal(_lines(spark, sf_dir, line)))
+
+
+@query("source_nod", "SELECT 'nod:i' || user_id || ':r:' || event_id AS id, 'nod.tool.result' AS kind, epoch_us(ts) // 1000 AS at_ms, 'tool.result ' || event_type AS title, CASE WHEN event_id % 3 = 0 THEN 'ERROR' ELSE 'INFO' END AS level, 'tool/' || event_type AS entity FROM events")
+def _nod(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.create_map(F.lit("tool"), F.col("event_type"), F.lit("ok"), F.when(F.col("event_id") % 3 == 0, "false").otherwise("true"))
+    one = F.struct(F.col("event_id").alias("seq"), _iso("ms").alias("ts"), F.lit("tool.result").alias("type"), F.lit("s").alias("session"), data.alias("data"))
+    line = F.to_json(F.struct(F.lit(1).alias("nod"), F.struct(F.concat(F.lit("i"), _text("user_id")).alias("instance"), F.lit("r").alias("run")).alias("source"), F.array(one).alias("events")))
+    out = text.envelopes(_lines(spark, sf_dir, line))
+    return out.select("id", "kind", "at_ms", "title", "level", F.col("touches")[0]["entity"].alias("entity"))
+
+
+@query("source_jobs", """SELECT 'job:' || o_orderkey || ':start' AS id, 'delega.job.start' AS kind, epoch_us(o_orderdate) // 1000 AS at_ms, 'c' || o_custkey AS actor FROM orders
+    UNION ALL SELECT 'job:' || o_orderkey || ':end', 'delega.job.end', epoch_us(o_orderdate) // 1000 + 60000, 'c' || o_custkey FROM orders WHERE o_orderstatus = 'F'""")
+def _job_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tables.read(spark, sf_dir, "orders").withColumn("ms", tables.ms("o_orderdate"))
+    line = F.concat(F.lit("owner=c"), _text("o_custkey"), F.lit("\nstarted="), _iso("ms"), F.when(F.col("o_orderstatus") == "F", F.concat(F.lit("\nended="), _iso(F.col("ms") + 60000))).otherwise(""))
+    return text.jobs(o.select(_text("o_orderkey").alias("job"), line.alias("line"), F.col("o_orderkey").alias("place"))).select("id", "kind", "at_ms", "actor")
+
+
+@query("tracker_issues", """SELECT o_custkey AS number, 'pr' AS kind, 'Order ' || max(o_orderkey) AS title, arg_max(lower(o_orderstatus), o_orderkey) AS state, arg_max(o_orderstatus = 'F', o_orderkey) AS merged, arg_max(o_orderkey % 2 = 0, o_orderkey) AS is_bug FROM orders GROUP BY 1""")
+def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("o_orderkey") % 2 == 0, "bug").otherwise("docs")
+    line = F.to_json(F.struct(F.col("o_custkey").alias("number"), F.concat(F.lit("Order "), _text("o_orderkey")).alias("title"), F.col("o_orderstatus").alias("state"), F.when(F.col("o_orderstatus") == "F", _iso("ms")).alias("mergedAt"), F.array(F.struct(label.alias("name"))).alias("labels")))
+    return commands.issues(_order_lines(spark, sf_dir, line), "pr").select("number", "kind", "title", "state", "merged", "is_bug")
+
+
+@query("ingest_labels", """SELECT o_orderkey AS rid, 'kind' AS task, CASE o_orderkey % 3 WHEN 0 THEN 'fix' ELSE 'docs' END AS label, 1.0::DOUBLE AS confidence FROM orders WHERE o_orderkey % 3 < 2
+    UNION ALL SELECT o_orderkey, 'is_fix', CASE o_orderkey % 3 WHEN 0 THEN 'true' ELSE 'false' END, 1.0::DOUBLE FROM orders""")
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    title = F.when(F.col("o_orderkey") % 3 == 0, "fix(core)!: one").when(F.col("o_orderkey") % 3 == 1, "docs: two").otherwise("three")
+    rows = tables.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("rid"), F.lit("commit").alias("kind"), title.alias("title"), F.lit("Fixes: a crash\nhttps://bug.org/error").alias("body"))
+    return labels_of(rows, Options()).select("rid", "task", "label", "confidence")
+
+
+@query("ingest_entity_via", """WITH r AS (SELECT event_id AS rid, user_id AS target, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE 'u/' || event_id % 7 END AS e FROM events),
+    f AS (SELECT target, arg_min(e, rid) AS known FROM r WHERE e <> 'unknown' GROUP BY 1) SELECT rid, CASE WHEN e = 'unknown' THEN coalesce(known, e) ELSE e END AS entity FROM r LEFT JOIN f USING (target)""")
+def _via(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = tables.read(spark, sf_dir, "events")
+    name = F.when(F.col("event_id") % 3 == 0, "unknown").otherwise(F.concat(F.lit("u/"), (F.col("event_id") % 7).cast("string")))
+    touch = F.struct(name.alias("entity"), F.lit("user").alias("type"), F.lit(1).cast("long").alias("weight"))
+    rows = e.select(F.col("event_id").alias("rid"), F.array(F.struct(F.lit("who").alias("rel"), _text("user_id").alias("target"))).alias("links"), F.array(touch).alias("touches"))
+    return via(rows, "who").select("rid", F.col("touches")[0]["entity"].alias("entity"))
+
+
+@query("branches", """WITH r AS (SELECT 'b' || o_custkey % 20 AS branch, CASE WHEN o_orderkey % 3 = 0 THEN 'behind' ELSE 'ahead' END AS side, o_orderpriority AS author, o_orderkey AS "at" FROM orders),
+    c AS (SELECT branch, author, count(*) AS n FROM r WHERE side = 'ahead' GROUP BY 1, 2),
+    k AS (SELECT branch, row_number() OVER w AS k, sum(n) OVER (w ROWS UNBOUNDED PRECEDING) AS upto, sum(n) OVER (PARTITION BY branch) AS ahead FROM c WINDOW w AS (PARTITION BY branch ORDER BY n DESC, author)),
+    f AS (SELECT branch, min(k) FILTER (upto * 2 > ahead) AS bus_factor, count(*) AS authors, any_value(ahead)::BIGINT AS ahead FROM k GROUP BY 1)
+    SELECT branch, ahead, count(*) FILTER (side = 'behind') AS behind, (SELECT max("at") FROM r) - max("at") >= 50 AS stale, authors, bus_factor FROM r JOIN f USING (branch) GROUP BY branch, ahead, authors, bus_factor""")
+def _branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    side = F.when(F.col("o_orderkey") % 3 == 0, "behind").otherwise("ahead")
+    revs = tables.read(spark, sf_dir, "orders").select(F.concat(F.lit("b"), (F.col("o_custkey") % 20).cast("string")).alias("branch"), side.alias("side"), _text("o_orderkey").alias("sha"), F.col("o_orderpriority").alias("author"), F.col("o_orderkey").alias("at_ms"))
+    return code.branches(revs, stale=50).select("branch", "ahead", "behind", "stale", "authors", "bus_factor")
+
+
+@query("job_failures", """WITH j AS (SELECT *, o_orderkey % 11 = 0 AS refused, o_orderkey % 13 AS rc, o_orderkey % 17 <> 0 AS ended, o_orderkey % 5 <> 0 AS has_output FROM orders), n AS (SELECT max(o_orderkey) AS newest FROM j)
+    SELECT * FROM (SELECT o_orderkey AS job, CASE WHEN refused THEN 'refused' WHEN rc IN (2, 3, 4, 5, 8, 9) THEN 'launch' WHEN ended AND NOT has_output THEN 'no_output' WHEN NOT ended AND newest - o_orderkey > 100 THEN 'never_ended' END AS reason FROM j, n) WHERE reason IS NOT NULL""")
+def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    rows = tables.read(spark, sf_dir, "orders").select(k.alias("job"), (k % 11 == 0).alias("refused"), (k % 13).alias("rc"), k.alias("started_ms"), F.when(k % 17 != 0, k).alias("ended_ms"), k.alias("last_ms"), (k % 5 != 0).alias("has_output"))
+    return process.failures(rows, stale=100)

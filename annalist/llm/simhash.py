@@ -228,15 +228,16 @@ def as_hex(column: str = "fp"):
 #: documents, the ``_LISTED`` commonest. Which pairs are found doesn't depend on it, only how many are tried.
 _SAMPLED, _COMMON, _LISTED = 8, 4, 1 << 17
 #: So many members of a cell are held against all others in the first round, and times as many after each round.
-_FIRST, _GROWTH = 1, 32
+_FIRST, _GROWTH = 1, 16
 #: Rows of one cell that a task gathers, or holds against the leading members; larger cells are split.
 _WHOLE = 1 << 16
 #: Pairs that are handed on at once.
 _PAIRS = 1 << 16
 #: Bits of the filter (their logarithm) that tells whose texts a verification reads, at most: 16 MB.
 _BITS = 27
-#: Segments of a set's counts: a power of two between an eighth and a quarter of its size, within these bounds.
-_FEWEST, _MOST = 16, 1 << 14
+#: Segments of a set's counts: a power of two between its size and twice as many, within these bounds. With
+#: so many, few differences fall together, and most pairs under 0.75 are told from those of 0.8 or more.
+_FEWEST, _MOST = 16, 1 << 12
 
 
 def shingle_set(text: bytes, words: int) -> np.ndarray:
@@ -267,7 +268,7 @@ def segment_counts(shingles: np.ndarray) -> bytes:
     The Manhattan distance of two such vectors never exceeds the number of shingles that only one of
     the sets has: such a shingle changes one count by one.
     """
-    bits = max(_FEWEST, min(_MOST, len(shingles) // 4)).bit_length() - 1
+    bits = max(_FEWEST, min(_MOST, 2 * len(shingles))).bit_length() - 1
     return np.minimum(np.bincount((shingles >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
 
 
@@ -371,10 +372,10 @@ def _led(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.Re
     held = 0
 
     def handed() -> pa.RecordBatch:
-        out = pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["u", "v"])
+        pairs = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1)  # cells of much the same members repeat them
         a.clear()
         b.clear()
-        return out
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in pairs], ["u", "v"])
 
     now: tuple[int, int] | None = None
     lead: list[tuple[int, int, int, int, bytes]] = []

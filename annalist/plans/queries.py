@@ -14,7 +14,7 @@ from ..functions import text as T
 from ..functions import times
 from ..ingest import Options, ingest, labels_of, via
 from ..model import Store
-from ..operators import code, counting, episodes, process, relations, reports, search
+from ..operators import code, counting, delivery, episodes, process, relations, reports, search
 from ..operators.scope import Scope
 from ..sources import commands, jsonl, text
 from . import rollups, tables
@@ -511,3 +511,67 @@ def _failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
     rows = tables.read(spark, sf_dir, "orders").select(k.alias("job"), (k % 11 == 0).alias("refused"), (k % 13).alias("rc"), k.alias("started_ms"), F.when(k % 17 != 0, k).alias("ended_ms"), k.alias("last_ms"), (k % 5 != 0).alias("has_output"))
     return process.failures(rows, stale=100)
+
+
+# --- what groups delivered -----------------------------------------------------------------------
+
+_DONE = f"""{_TOUCH}, c AS (SELECT rid, o_custkey % 40 AS key, o_orderstatus = 'F' AS mine, entity, at_ms AS "at", added + deleted AS w, size FROM t JOIN o USING (rid) JOIN orders ON o_orderkey = rid),
+    l AS (SELECT DISTINCT a.key, b.rid, b.entity, b.w FROM c a JOIN c b ON a.entity = b.entity AND b."at" > a."at" AND b."at" <= a."at" + {30 * DAY} AND NOT (b.mine AND b.key = a.key) WHERE a.mine),
+    h AS (SELECT entity FROM c GROUP BY entity ORDER BY count(*) * greatest(any_value(size), 1) DESC, entity LIMIT 25),
+    f AS (SELECT key, count(DISTINCT entity) AS files, sum(w)::BIGINT AS lines, count(DISTINCT entity) FILTER (entity IN (FROM h)) AS hotspots FROM c WHERE mine GROUP BY key),
+    r AS (SELECT key, count(DISTINCT entity) AS files_reworked, sum(w)::BIGINT AS lines_reworked FROM l GROUP BY key),
+    n AS (SELECT o_custkey % 40 AS key, count(*) AS commits, count(*) FILTER (epoch_us(o_orderdate) // 1000 + {30 * DAY} > 1640995200000) AS open_windows FROM orders WHERE o_orderstatus = 'F' GROUP BY 1)"""
+
+
+def _revisions(spark: SparkSession, sf_dir: str) -> tuple[Store, DataFrame]:
+    """The orders as commits with hexadecimal ids, and the groups (customers, in 40) that delivered the finished ones."""
+    s = tables.order_store(spark, sf_dir)
+    o = tables.read(spark, sf_dir, "orders").where("o_orderstatus = 'F'")
+    made = Store.of(s.events.withColumn("id", F.md5(_text("rid"))), touches=s.touches, entities=s.entities)
+    return made, o.select((F.col("o_custkey") % 40).alias("key"), F.left(F.md5(_text("o_orderkey")), F.lit(16)).alias("sha"))
+
+
+@query("session_delivery", f"WITH {_DONE} SELECT n.key, commits, 0 AS unresolved, files, lines, hotspots, coalesce(files_reworked, 0) AS files_reworked, coalesce(lines_reworked, 0) AS lines_reworked, open_windows, round(coalesce(files_reworked, 0) / files, 6) AS file_ratio FROM n JOIN f USING (key) LEFT JOIN r USING (key)")
+def _delivery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, shas = _revisions(spark, sf_dir)
+    out = delivery.delivered(s, shas, "order", horizon=1_640_995_200_000, hot=code.hotspots(s))
+    return out.withColumn("file_ratio", F.round("file_ratio", 6))
+
+
+_EDITS = """e AS (SELECT DISTINCT l_suppkey AS key, CASE WHEN l_linenumber = 7 THEN '/tmp/x' ELSE '/src/' || p_brand || '/part/' || p_partkey END AS path, p_brand FROM lineitem JOIN part ON l_partkey = p_partkey),
+    c AS (SELECT DISTINCT l_suppkey AS key, CASE p_brand WHEN 'Brand#11' THEN '' ELSE p_brand || '/' END || 'part/' || p_partkey AS entity FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R'),
+    r AS (SELECT DISTINCT key, path, CASE WHEN path <> '/tmp/x' THEN CASE p_brand WHEN 'Brand#11' THEN path[15:] ELSE path[6:] END END AS entity FROM e)"""
+
+
+@query("session_incomplete", f"WITH {_EDITS} SELECT key, count(DISTINCT r.entity) AS edited, count(DISTINCT r.entity) FILTER (c.entity IS NULL) AS uncommitted, count(DISTINCT path) FILTER (r.entity IS NULL) AS outside FROM r LEFT JOIN c USING (key, entity) GROUP BY key")
+def _incomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = tables.read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", F.concat_ws("/", F.lit("part"), _text("p_partkey")).alias("file"))
+    lines = tables.read(spark, sf_dir, "lineitem").join(parts, "l_partkey").withColumn("key", F.col("l_suppkey"))
+    path = F.when(F.col("l_linenumber") == 7, "/tmp/x").otherwise(F.concat_ws("/", F.lit("/src"), "p_brand", "file"))
+    entity = F.when(F.col("p_brand") == "Brand#11", F.col("file")).otherwise(F.concat_ws("/", "p_brand", "file"))
+    roots = spark.createDataFrame([(None, "/src/"), (None, "/src/Brand#11")], "key long, root string")
+    return delivery.incomplete(lines.select("key", path.alias("path")), roots, lines.where("l_returnflag = 'R'").select("key", entity.alias("entity")))
+
+
+_MERGES = """s AS (SELECT o_custkey AS key, o_orderpriority AS branch, CASE o_orderpriority WHEN '1-URGENT' THEN true WHEN '2-HIGH' THEN false WHEN '5-LOW' THEN true END AS state, o_orderkey FROM orders),
+    g AS (SELECT key, coalesce(bool_or(state) FILTER (branch <> '5-LOW'), bool_or(state)) AS done, bool_or(o_orderkey % 16 = 0) FILTER (o_orderkey % 8 < 2) AS pull FROM s GROUP BY key),
+    m AS (SELECT key, CASE WHEN coalesce(pull, false) OR done THEN 'merged' WHEN done IS NOT NULL OR pull IS NOT NULL THEN 'not_merged' ELSE 'unknown' END AS status, CASE WHEN pull THEN 'pr' WHEN done IS NOT NULL THEN 'branch' WHEN pull IS NOT NULL THEN 'pr' ELSE '' END AS via FROM g)"""
+
+
+def _merge_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tables.read(spark, sf_dir, "orders").withColumn("key", F.col("o_custkey"))
+    states = spark.createDataFrame([("1-URGENT", True), ("2-HIGH", False), ("5-LOW", True)], "branch string, merged boolean")
+    pulls = o.where("o_orderkey % 8 < 2").select("key", (F.col("o_orderkey") % 16 == 0).alias("merged"))
+    return delivery.merges(o, o.select("key", F.col("o_orderpriority").alias("branch")), states, pulls, base="5-LOW")
+
+
+query("session_merges", f"WITH {_MERGES} SELECT key, status, via FROM m")(_merge_states)
+query("session_merge_rate", f"WITH {_MERGES} SELECT count(*) FILTER (status <> 'unknown') AS known, count(*) FILTER (status = 'merged') AS merged, round(count(*) FILTER (status = 'merged') / count(*) FILTER (status <> 'unknown'), 6) AS rate FROM m")(
+    lambda spark, d: delivery.merge_rate(_merge_states(spark, d)).withColumn("rate", F.round("rate", 6)))
+
+
+@query("session_ranking", "SELECT o_custkey AS key, max(CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice / 100000) END) AS cost, count(*) AS tokens, max(CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice / 100000) END) / count(*) AS cost_per_commit FROM orders GROUP BY 1 ORDER BY coalesce(max(CASE WHEN o_orderkey % 2 = 0 THEN floor(o_totalprice / 100000) END), -1) DESC, tokens DESC, key LIMIT 25")
+def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cost = F.when(F.col("o_orderkey") % 2 == 0, F.floor(F.col("o_totalprice") / 100000).cast("double"))
+    groups = tables.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max(cost).alias("cost"), F.count("*").alias("tokens"))
+    return delivery.ranked(groups.withColumn("cost_per_commit", delivery.per_commit("cost", "tokens")))

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from annalist.model import Store, as_events
-from annalist.operators import code, counting, episodes, process, relations, reports, search
+from annalist.operators import code, counting, delivery, episodes, process, relations, reports, search
 from annalist.operators.scope import Scope
 
 
@@ -217,3 +217,62 @@ def test_reports(logs):
     parts = {(r[0], r[1]) for r in rows(reports.log_report(logs))}
     assert ("level", "ERROR") in parts and ("entity", "hot.rs") in parts and ("episode", "e1") in parts
     assert ("rank", "hot.rs") in {(r[0], r[1]) for r in rows(reports.code_report(logs, "hot.rs"))}
+
+
+def test_delivery(spark):
+    rnd = random.Random(5)
+    day = delivery.DAY
+    commits = [(f"{rnd.getrandbits(160):040x}", "git", "commit", 1 + rnd.randrange(60) * day // 2, "", "", None, {}) for _ in range(120)]
+    changes = [(c[0], f, rnd.randrange(-1, 9), rnd.randrange(5)) for c in commits for f in rnd.sample(["a", "b", "c", "d"], rnd.randrange(4))]
+    groups = [(g, c[0][: rnd.choice([8, 12, 40])].upper() if k % 5 else c[0]) for k, c in enumerate(commits) for g in "xy" if rnd.random() < 0.3]
+    groups += [("x", "abc"), ("x", "ffffffffffff"), ("y", ""), ("z", "eeeeeeeeeeee")]
+    at = {c[0]: c[3] for c in commits}
+    full = {sha: [c for c in at if c.startswith(sha.lower())] for _, sha in groups}
+    want = {}
+    for g in "xyz":
+        shas = {sha for k, sha in groups if k == g and sha}
+        ids = {full[s][0] for s in shas if len(s) > 3 and len(full[s]) == 1}
+        weight = {(c, f): max(a, 0) + d for c, f, a, d in changes}
+        mine = [x for x in weight if x[0] in ids]
+        later = {(c, f) for c, f in weight if c not in ids and any(f == e and 0 < at[c] - at[i] <= 5 * day for i, e in mine)}
+        files, redone = {f for _, f in mine}, {f for _, f in later}
+        lost = sum(1 for s in shas if len(s) < 4 or len(full[s]) != 1)
+        counts = (len(files), sum(weight[x] for x in mine), len(files & {"a"}), len(redone), sum(weight[x] for x in later), sum(at[i] + 5 * day > 25 * day for i in ids), len(redone) / max(len(files), 1))
+        want[g] = (g, len(shas), lost, *(counts if ids else (None,) * 7))
+    s = history(spark, commits, changes)
+    table = spark.createDataFrame(groups, "key string, sha string")
+    hot = spark.createDataFrame([("a",)], "entity string")
+    out = rows(delivery.delivered(s, table, days=5, horizon=25 * day, hot=hot))
+    assert {r[0]: r for r in out} == want
+    assert want["x"][6] and want["y"][7]
+    assert not rows(delivery.delivered(s, table.limit(0)))
+
+
+def test_sha_that_two_commits_begin_with(spark):
+    s = history(spark, [("abcd1" + "0" * 35, "git", "commit", 1, "", "", None, {}), ("abcd2" + "0" * 35, "git", "commit", 2, "", "", None, {})])
+    shas = spark.createDataFrame([("abcd",), ("ABCD1",), ("abcd2", ), ("abcd%",)], "sha string")
+    assert sorted(r["sha"] for r in delivery.resolved(shas, s.events).collect()) == ["ABCD1", "abcd2"]
+
+
+def test_edits_left_out(spark):
+    edits = spark.createDataFrame([("s", p) for p in ("/r/a", "/r/sub/b", "/r/sub/c", "/q/d", "/rest/e", "/r/a")] + [("t", "/q/d")], "key string, path string")
+    roots = spark.createDataFrame([(None, "/r/"), ("s", "/r/sub"), ("t", "/q"), (None, "")], "key string, root string")
+    committed = spark.createDataFrame([("s", "b"), ("t", "a")], "key string, entity string")
+    assert sorted(rows(delivery.incomplete(edits, roots, committed))) == [("s", 3, 2, 2), ("t", 1, 1, 0)]
+
+
+def test_merges(spark):
+    groups = spark.createDataFrame([(k,) for k in "abcdefg"], "key string")
+    branches = spark.createDataFrame([("a", "main"), ("b", "main"), ("b", "x"), ("c", "y"), ("d", "unknown"), ("f", "x")], "key string, branch string")
+    states = spark.createDataFrame([("main", True), ("x", False), ("y", True)], "branch string, merged boolean")
+    pulls = spark.createDataFrame([("f", True), ("f", False), ("e", False)], "key string, merged boolean")
+    out = delivery.merges(groups, branches, states, pulls, base="main")
+    assert sorted(rows(out)) == [("a", "merged", "branch"), ("b", "not_merged", "branch"), ("c", "merged", "branch"), ("d", "unknown", ""), ("e", "not_merged", "pr"), ("f", "merged", "pr"), ("g", "unknown", "")]
+    assert rows(delivery.merge_rate(out)) == [(5, 3, 0.6)]
+    assert rows(delivery.merge_rate(out.limit(0))) == [(0, 0, None)]
+
+
+def test_ranked_groups(spark):
+    groups = spark.createDataFrame([("a", None, 9, 0), ("b", 0.0, 1, 2), ("c", 2.0, 1, 4), ("d", 2.0, 5, 1), ("e", None, 9, 1)], "key string, cost double, tokens long, commits long")
+    out = delivery.ranked(groups.withColumn("each", delivery.per_commit("cost")), 4)
+    assert [(r["key"], r["each"]) for r in out.collect()] == [("d", 2.0), ("c", 0.5), ("b", 0.0), ("a", None)]

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import ascii_lower
 from ..functions.times import bucket
 from ..model import Store
 from .scope import Scope, attribute, checked_key
@@ -209,3 +210,9 @@ def show(store: Store, prefix: str) -> DataFrame:
 def sources_of_kind(store: Store, kind: str) -> DataFrame:
     """Sources that have events of ``kind``."""
     return store.events.where(F.col("kind") == kind).groupBy("source").agg(F.count("*").alias("events"))
+
+
+def closest(values: DataFrame, word: str, most: int = 2, limit: int = 3) -> DataFrame:
+    """``value``, ``distance``: what ``word`` may have been meant to be, at most ``most`` edits away, A-Z in either case."""
+    distance = F.levenshtein(ascii_lower(F.col("value")), ascii_lower(F.lit(word)), most)
+    return values.select("value").distinct().withColumn("distance", distance).where("distance >= 0").orderBy("distance", "value").limit(limit)

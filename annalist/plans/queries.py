@@ -575,3 +575,26 @@ def _ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     cost = F.when(F.col("o_orderkey") % 2 == 0, F.floor(F.col("o_totalprice") / 100000).cast("double"))
     groups = tables.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("key")).agg(F.max(cost).alias("cost"), F.count("*").alias("tokens"))
     return delivery.ranked(groups.withColumn("cost_per_commit", delivery.per_commit("cost", "tokens")))
+
+
+# --- tags, sizes, suggestions --------------------------------------------------------------------
+
+
+@query("tag_markers", "SELECT 'v' || o_custkey AS name, arg_max(epoch_us(o_orderdate) // 86400000000 * 86400000, o_orderkey) AS at_ms, arg_max('r' || o_orderkey, o_orderkey) AS ref FROM orders WHERE o_orderkey % 5 = 0 GROUP BY 1")
+def _tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("v"), _text("o_custkey"))).otherwise("")
+    line = F.concat_ws("\x1f", name, F.date_format("o_orderdate", "yyyy-MM-dd"), F.concat(F.lit("r"), _text("o_orderkey")))
+    return commands.tags(_order_lines(spark, sf_dir, line)).select("name", "at_ms", "ref")
+
+
+@query("sized_entities", "SELECT p_brand || '/part/' || p_partkey AS entity, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN 0 ELSE p_size * 2 END::BIGINT AS size, p_partkey % 3 = 0 AS deleted FROM part")
+def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    lines = F.when(k % 3 == 1, "-").otherwise((F.col("p_size") * 2).cast("string"))
+    line = F.when(k % 3 == 0, "no line of a tree").otherwise(F.concat_ws("\t", lines, F.lit("0"), F.concat_ws("/", "p_brand", F.lit("part"), _text("p_partkey"))))
+    tree = tables.read(spark, sf_dir, "part").select(line.alias("line"))
+    return commands.sized(tables.order_store(spark, sf_dir).entities, tree).select("entity", "size", "deleted")
+
+
+query("closest_names", "SELECT DISTINCT c_name AS value, levenshtein(lower(c_name), 'customer#000000120') AS distance FROM customer WHERE levenshtein(lower(c_name), 'customer#000000120') <= 2 ORDER BY 2, 1 LIMIT 25")(
+    lambda spark, d: counting.closest(tables.read(spark, d, "customer").select(F.col("c_name").alias("value")), "customer#000000120", limit=25))

@@ -71,3 +71,40 @@ def issues(landed: DataFrame, kind: str, bug_labels: tuple[str, ...] = BUG_LABEL
         F.arrays_overlap(names, F.array(*(F.lit(b) for b in bug_labels))).alias("is_bug"), "place",
     )
     return rows.groupBy("number", "kind").agg(F.max_by(F.struct("title", "state", "labels", "merged", "closed_at", "is_bug"), "place").alias("r")).select("number", "kind", "r.*")
+
+
+#: The fields of a landed tag, parted by 0x1f.
+TAG_FORMAT = "%(refname:short)%1f%(creatordate:short)%1f%(objectname:short)"
+
+
+def land_tree(repo: str, path: str) -> None:
+    """Write a repository's tags and the files of its head, with their lines, to a folder that ``tags`` and ``sized`` read."""
+    folder = Path(path)
+    folder.mkdir(parents=True, exist_ok=True)
+    folder.joinpath("tags.txt").write_text(run(["git", "-C", repo, "for-each-ref", "--sort=creatordate", f"--format={TAG_FORMAT}", "refs/tags"]))
+    # the changes from the empty tree list each file of the head once, with all its lines
+    empty = run(["git", "-C", repo, "hash-object", "-t", "tree", "/dev/null"]).strip()
+    folder.joinpath("tree.txt").write_text(run(["git", "-C", repo, "-c", "core.quotePath=false", "diff", "--numstat", "--no-renames", empty, "HEAD"], timeout=600))
+
+
+def tags(landed: DataFrame, source: str = "git") -> DataFrame:
+    """Markers (``source``, ``name``, ``at_ms``, ``ref``, ``kind``) from landed tags; of a name that repeats, the last line."""
+    part = lambda k: F.coalesce(F.get(F.split("line", "\x1f"), k), F.lit(""))
+    at = F.coalesce(F.unix_millis(F.try_to_timestamp(part(1))), F.lit(0)).alias("at_ms")
+    rows = landed.select("place", part(0).alias("name"), at, part(2).alias("ref")).where("name <> ''")
+    last = rows.groupBy("name").agg(F.max_by(F.struct("at_ms", "ref"), "place").alias("r"))
+    return last.select(F.lit(source).alias("source"), "name", "r.at_ms", "r.ref", F.lit("tag").alias("kind"))
+
+
+def sized(entities: DataFrame, landed: DataFrame) -> DataFrame:
+    """``entities`` with the ``size`` of each file of the landed tree, and ``deleted`` for files that it lacks.
+
+    A binary file has size 0. Entities of other types stay as they are. The tree has every file, so
+    sizes aren't limited to those that change most.
+    """
+    part = F.split("line", "\t", 3)
+    tree = landed.where(F.col("line").rlike(r"^(\d+|-)\t(\d+|-)\t.")).select(part[2].alias("entity"), F.coalesce(F.expr("try_cast(split(line, '\t')[0] AS LONG)"), F.lit(0)).alias("__lines"))
+    tree = tree.groupBy("entity").agg(F.max("__lines").alias("__lines"))
+    file, known = F.col("type") == "file", F.col("__lines").isNotNull()
+    out = entities.join(tree, "entity", "left")
+    return out.select("entity", "type", F.when(file & known, F.col("__lines")).otherwise(F.col("size")).alias("size"), F.when(file, ~known).otherwise(F.col("deleted")).alias("deleted"), "excluded")

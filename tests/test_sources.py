@@ -231,3 +231,28 @@ def test_command_line(spark, tmp_path):
     assert json.loads(main(["hotspots", str(tmp_path / "h")], spark))["result"] == []
     with pytest.raises(ValueError):
         main(["top", str(tmp_path / "h"), "level", "--attr", "novalue"], spark)
+
+
+def test_tags_and_tree_of_a_repository(spark, tmp_path):
+    repo = tmp_path / "repo"
+    git = ["git", "-C", str(repo), "-c", "user.name=a", "-c", "user.email=a@b.c"]
+    commands.run(["git", "init", "-q", str(repo)])
+    (repo / "a b.txt").write_text("1\n2\n3\n")
+    (repo / "é.txt").write_text("1\n")
+    (repo / "bin").write_bytes(b"\0\1\n\2")
+    commands.run([*git, "add", "-A"])
+    commands.run([*git, "commit", "-qm", "one"])
+    commands.run([*git, "tag", "v1"])
+    commands.land_tree(str(repo), str(tmp_path / "landed"))
+    (mark,) = commands.tags(read_lines(spark, str(tmp_path / "landed" / "tags.txt")), "git:r").collect()
+    assert (mark["source"], mark["name"], mark["kind"]) == ("git:r", "v1", "tag") and mark["at_ms"] > 0 and mark["ref"]
+    known = [("a b.txt", "file", 9, True, False), ("é.txt", "file", 0, False, False), ("bin", "file", 7, False, True), ("gone", "file", 5, False, False), ("svc", "service", 2, False, False)]
+    entities = spark.createDataFrame(known, "entity string, type string, size long, deleted boolean, excluded boolean")
+    out = commands.sized(entities, read_lines(spark, str(tmp_path / "landed" / "tree.txt")))
+    assert {r[0]: r[1:] for r in map(tuple, out.collect())} == {"a b.txt": ("file", 3, False, False), "é.txt": ("file", 1, False, False), "bin": ("file", 0, False, True), "gone": ("file", 5, True, False), "svc": ("service", 2, False, False)}
+
+
+def test_closest(spark):
+    names = spark.createDataFrame([("hotspots",), ("Hotspot",), ("coupling",), (None,), ("hotspots",)], "value string")
+    assert [tuple(r) for r in counting.closest(names, "hotspotz").collect()] == [("Hotspot", 1), ("hotspots", 1)]
+    assert not counting.closest(names, "zzz").collect()

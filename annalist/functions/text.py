@@ -66,6 +66,11 @@ def template_of(text: str | None) -> str:
     return " ".join(_token(x) if len(x) < 200 else _token.__wrapped__(x) for x in (text or "").split())
 
 
+def bare_template(template: Column) -> Column:
+    """A template without the times and numbers that a line began with."""
+    return F.regexp_replace(template, r"^(<TS> |UTC |\[<NUM>\] )+", "")
+
+
 # --- levels --------------------------------------------------------------------------------------
 
 # Level words as log lines spell them, with the level that each means.

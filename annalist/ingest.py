@@ -172,6 +172,14 @@ def labels_of(events: DataFrame, options: Options) -> DataFrame:
     return rows.select("rid", "x.task", "x.label", "x.confidence", F.lit("rules").alias("src"), F.lit("").alias("evidence"))
 
 
+def chained(*stages: DataFrame) -> DataFrame:
+    """Labels of several classifiers: for each event and task, what the first of them says that says anything."""
+    named = [s.withColumn("stage", F.lit(k)) for k, s in enumerate(stages)]
+    rows = reduce(DataFrame.unionByName, named)
+    first = rows.groupBy("rid", "task").agg(F.min(F.struct("stage", "label", "confidence", "src", "evidence")).alias("x"))
+    return first.select("rid", "task", "x.label", "x.confidence", "x.src", "x.evidence")
+
+
 def ingest(records: DataFrame, options: Options = Options(), base: int = 0) -> Store:
     """The tables of the history that ``records`` make."""
     rows = records

@@ -4,19 +4,41 @@ from __future__ import annotations
 
 import itertools
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import ascii_lower, lowered, words
 from ..model import Store
 
 K1, B = 1.2, 0.75
+#: Postings are filed by a hash of their token, so that a query reads the files of its tokens only.
+BUCKETS = 64
+POSTINGS = "rid LONG, length INT, token STRING, tf LONG, bucket INT"
+LENGTHS = "rid LONG, length INT"
+
+
+def _bucket(token: Column) -> Column:
+    return F.pmod(F.xxhash64(token), F.lit(BUCKETS)).cast("int")
 
 
 def postings(texts: DataFrame) -> DataFrame:
-    """``rid``, ``token``, ``tf``, ``length``: the inverted index of ``rid``, ``text``."""
+    """``rid``, ``length``, ``token``, ``tf``, ``bucket``: the inverted index of ``rid``, ``text``."""
     tokens = texts.select("rid", words(F.col("text")).alias("t")).withColumn("length", F.size("t"))
-    return tokens.select("rid", "length", F.explode("t").alias("token")).groupBy("rid", "length", "token").agg(F.count("*").alias("tf"))
+    return tokens.select("rid", "length", F.explode("t").alias("token")).groupBy("rid", "length", "token").agg(F.count("*").alias("tf")).withColumn("bucket", _bucket(F.col("token")))
+
+
+def lengths(texts: DataFrame) -> DataFrame:
+    """``rid``, ``length``: how many tokens each text has."""
+    return texts.select("rid", F.size(words(F.col("text"))).alias("length"))
+
+
+def ranked(index: DataFrame, sizes: DataFrame, query: list[str], limit: int | None = 25) -> DataFrame:
+    """``bm25`` from ``postings`` and ``lengths``: only the postings of the query's tokens are read."""
+    wanted = sorted(set(query))
+    rows = index.where(F.col("bucket").isin([_bucket(F.lit(w)) for w in wanted]) & F.col("token").isin(wanted))
+    tf = [F.coalesce(F.max(F.when(F.col("token") == w, F.col("tf"))), F.lit(0)).alias(f"tf{k}") for k, w in enumerate(wanted)]
+    hits = rows.groupBy("rid", "length").agg(*tf)
+    return _best(hits, sizes.agg(F.count("*").alias("n"), F.avg("length").alias("mean")), len(wanted), limit)
 
 
 def bm25(texts: DataFrame, query: list[str], limit: int | None = 25) -> DataFrame:
@@ -27,10 +49,14 @@ def bm25(texts: DataFrame, query: list[str], limit: int | None = 25) -> DataFram
     times = lambda w: F.size(F.filter("t", lambda x: x == w))
     tf = [times(w).alias(f"tf{k}") for k, w in enumerate(wanted)]
     hits = sized.select("rid", F.size("t").alias("length"), *tf)
-    df = hits.agg(*(F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(len(wanted))))
-    scored = hits.where(" AND ".join(f"tf{k} > 0" for k in range(len(wanted)))).join(F.broadcast(totals.crossJoin(df)), F.lit(True))  # one row
+    return _best(hits, totals, len(wanted), limit)
+
+
+def _best(hits: DataFrame, totals: DataFrame, tokens: int, limit: int | None) -> DataFrame:
+    df = hits.agg(*(F.count(F.when(F.col(f"tf{k}") > 0, 1)).alias(f"df{k}") for k in range(tokens)))
+    scored = hits.where(" AND ".join(f"tf{k} > 0" for k in range(tokens))).join(F.broadcast(totals.crossJoin(df)), F.lit(True))  # one row
     score = F.lit(0.0)
-    for k in range(len(wanted)):
+    for k in range(tokens):
         n, f = F.col(f"df{k}"), F.col(f"tf{k}")
         idf = F.greatest(F.log((F.col("n") - n + 0.5) / (n + 0.5)), F.lit(1e-6))
         score = score + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("length") / F.col("mean")))

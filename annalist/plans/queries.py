@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times
-from ..ingest import Options, ingest, labels_of, via
+from ..ingest import Options, chained, ingest, labels_of, via
 from ..model import Store
 from ..operators import code, counting, delivery, episodes, process, relations, reports, search
 from ..operators.scope import Scope
@@ -297,10 +297,21 @@ query("search_bm25", r"""WITH w AS (SELECT doc_id AS rid, list_filter(regexp_spl
     c AS (SELECT rid, len(t) AS n, len(list_filter(t, lambda x: x = 'with')) AS a, len(list_filter(t, lambda x: x = 'que')) AS b FROM w),
     g AS (SELECT count(*) AS docs, avg(n) AS mean, count(*) FILTER (a > 0) AS da, count(*) FILTER (b > 0) AS db FROM c)
     SELECT rid, round(greatest(ln((docs - da + 0.5) / (da + 0.5)), 1e-6) * a * 2.2 / (a + 1.2 * (0.25 + 0.75 * n / mean)) + greatest(ln((docs - db + 0.5) / (db + 0.5)), 1e-6) * b * 2.2 / (b + 1.2 * (0.25 + 0.75 * n / mean)), 6) AS score FROM c, g WHERE a > 0 AND b > 0""")(
-    lambda spark, d: search.bm25(tables.read(spark, d, "documents").select(F.col("doc_id").alias("rid"), "text"), ["with", "que"], None).select("rid", F.round("score", 6).alias("score")))
-query("infer_level", r"""SELECT doc_id, CASE regexp_extract(line, '(^|[^A-Za-z0-9])(PANIC|FATAL|CRITICAL|CRIT|ERROR|WARNING|WARN)([:\] \t|>]|$)', 2) WHEN 'PANIC' THEN 'FATAL' WHEN 'FATAL' THEN 'FATAL' WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'CRIT' THEN 'CRITICAL' WHEN 'ERROR' THEN 'ERROR' WHEN 'WARNING' THEN 'WARNING' WHEN 'WARN' THEN 'WARNING' ELSE '' END AS level_inf
-    FROM (SELECT doc_id, (CASE doc_id % 3 WHEN 0 THEN 'ERROR: ' WHEN 1 THEN 'x WARN ' ELSE '' END) || substr(split_part(coalesce(text, ''), chr(10), 1), 1, 100) AS line FROM documents)""")(
+    lambda spark, d: search.bm25(_doc_texts(spark, d), ["with", "que"], None).select("rid", F.round("score", 6).alias("score")))
+
+
+def _doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables.read(spark, sf_dir, "documents").select(F.col("doc_id").alias("rid"), "text")
+
+
+query("search_postings", ORACLE["search_bm25"])(
+    lambda spark, d: search.ranked(search.postings(_doc_texts(spark, d)), search.lengths(_doc_texts(spark, d)), ["que", "with"], None).select("rid", F.round("score", 6).alias("score")))
+query("infer_level", r"""WITH l AS (SELECT doc_id, substr((CASE doc_id % 3 WHEN 0 THEN 'ERROR: ' WHEN 1 THEN 'x WARN ' ELSE '' END) || split_part(coalesce(text, ''), chr(10), 1), 1, 200) AS line FROM documents),
+    f AS (SELECT doc_id, regexp_extract(line, '(^|[^A-Za-z0-9])(PANIC|FATAL|CRITICAL|CRIT|ERROR|WARNING|WARN)([:\] \t|>]|$)', 2) AS word, upper(regexp_extract(lower(line), '(level=|"level": ?")(panic|fatal|critical|crit|error|warning|warn)([^a-z]|$)', 2)) AS pair FROM l)
+    SELECT doc_id, CASE CASE WHEN word <> '' THEN word ELSE pair END WHEN 'PANIC' THEN 'FATAL' WHEN 'FATAL' THEN 'FATAL' WHEN 'CRITICAL' THEN 'CRITICAL' WHEN 'CRIT' THEN 'CRITICAL' WHEN 'ERROR' THEN 'ERROR' WHEN 'WARNING' THEN 'WARNING' WHEN 'WARN' THEN 'WARNING' ELSE '' END AS level_inf FROM f""")(
     lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.inferred_level(F.concat(F.when(F.col("doc_id") % 3 == 0, "ERROR: ").when(F.col("doc_id") % 3 == 1, "x WARN ").otherwise(""), F.coalesce("text", F.lit("")))).alias("level_inf")))
+query("infer_level_pairs", """SELECT event_id, CASE event_id % 5 WHEN 0 THEN 'ERROR' WHEN 1 THEN 'WARNING' WHEN 2 THEN 'CRITICAL' WHEN 3 THEN '' ELSE 'FATAL' END AS level_inf FROM events""")(
+    lambda spark, d: tables.read(spark, d, "events").select("event_id", T.inferred_level(F.concat_ws(" ", "event_type", F.element_at(F.array(*map(F.lit, ("LEVEL=Error x", '"level": "warn"', "level=crit", "level=errors", "level=info PANIC: x"))), (F.col("event_id") % 5 + 1).cast("int")))).alias("level_inf")))
 query("tickets_extract", r"""SELECT conv_id, turn, regexp_extract_all('see ABC-' || conv_id || ' and #' || turn || ' ABC-' || conv_id, '[A-Z]+-[0-9]+|#[0-9]+')[1:2] AS found FROM conversations""".replace(" AS found", "::VARCHAR AS found"))(
     lambda spark, d: tables.read(spark, d, "conversations").select("conv_id", "turn", F.concat(F.lit("["), F.array_join(T.tickets(F.concat(F.lit("see ABC-"), "conv_id", F.lit(" and #"), "turn", F.lit(" ABC-"), "conv_id")), ", "), F.lit("]")).alias("found")))
 query("templatize_docs")(lambda spark, d: tables.read(spark, d, "documents").select("doc_id", T.templatize(F.col("text")).alias("template")))
@@ -408,6 +419,7 @@ def _templated(s: Store) -> Store:
 
 
 _log("patterns_templatized", "SELECT template, count(*) AS count, arg_max(id, rid) AS example_id FROM ev GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 25", lambda s: counting.patterns(_templated(s)).select("template", "count", "example_id"))
+_log("bare_templates", "SELECT template, count(*) AS events FROM ev GROUP BY 1", lambda s: s.events.groupBy(T.bare_template(F.concat(F.lit("<TS> UTC [<NUM>] <TS> "), "template")).alias("template")).agg(F.count("*").alias("events")))
 _log("utc_days", "SELECT strftime(make_timestamp(at_ms * 1000), '%Y-%m-%d') AS day, count(*) AS events FROM ev GROUP BY 1", lambda s: s.events.groupBy(times.utc_date(F.col("at_ms")).alias("day")).agg(F.count("*").alias("events")))
 query("job_days", "SELECT CASE WHEN o_orderkey % 2 = 0 THEN '2024-05-' || lpad((o_orderkey % 28 + 1)::VARCHAR, 2, '0') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS day, count(*) AS jobs FROM orders GROUP BY 1")(
     lambda spark, d: tables.read(spark, d, "orders").groupBy(times.day_of(F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("202405"), F.lpad((F.col("o_orderkey") % 28 + 1).cast("string"), 2, "0"), F.lit("-job"))).otherwise(F.concat(F.lit("j2024-"), F.col("o_orderkey").cast("string"))), tables.ms("o_orderdate")).alias("day")).agg(F.count("*").alias("jobs")))
@@ -484,6 +496,16 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return labels_of(rows, Options()).select("rid", "task", "label", "confidence")
 
 
+@query("ingest_label_chain", """SELECT o_orderkey AS rid, 'kind' AS task, CASE WHEN o_orderkey % 3 = 0 THEN 'fix' ELSE lower(o_orderstatus) END AS label, CASE WHEN o_orderkey % 3 = 0 THEN 'one' ELSE 'two' END AS src FROM orders
+    UNION ALL SELECT o_orderkey, 'area', 'core', 'one' FROM orders WHERE o_orderkey % 3 = 0""")
+def _chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = tables.read(spark, sf_dir, "orders").withColumnRenamed("o_orderkey", "rid")
+    said = lambda rows, task, label, src: rows.select("rid", F.lit(task).alias("task"), label.alias("label"), F.lit(0.5).alias("confidence"), F.lit(src).alias("src"), F.lit("").alias("evidence"))
+    some = o.where("rid % 3 = 0")
+    one = said(some, "kind", F.lit("fix"), "one").union(said(some, "area", F.lit("core"), "one"))
+    return chained(one, said(o, "kind", F.lower("o_orderstatus"), "two")).select("rid", "task", "label", "src")
+
+
 @query("ingest_entity_via", """WITH r AS (SELECT event_id AS rid, user_id AS target, CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE 'u/' || event_id % 7 END AS e FROM events),
     f AS (SELECT target, arg_min(e, rid) AS known FROM r WHERE e <> 'unknown' GROUP BY 1) SELECT rid, CASE WHEN e = 'unknown' THEN coalesce(known, e) ELSE e END AS entity FROM r LEFT JOIN f USING (target)""")
 def _via(spark: SparkSession, sf_dir: str) -> DataFrame:

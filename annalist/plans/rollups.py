@@ -12,6 +12,7 @@ from ..operators.scope import Scope
 
 WIDTH = 600_000
 DIMS = ["source", "kind", "level", "level_inf", "template", "entity"]
+SCHEMA = ", ".join(f"{d} STRING" for d in DIMS) + ", bucket LONG, count LONG, last_rid LONG"
 
 
 def facts(store: Store) -> DataFrame:
@@ -20,15 +21,20 @@ def facts(store: Store) -> DataFrame:
     return store.events.join(single, "rid", "left").withColumn("entity", F.when(F.col("n") == 1, F.col("entity")).otherwise(""))
 
 
-def build(store: Store, width: int = WIDTH) -> DataFrame:
-    """``DIMS``, ``bucket``, ``count``, ``last_rid``; untimed events are in bucket 0."""
+def build(store: Store, width: int = WIDTH, by: tuple[str, ...] = ()) -> DataFrame:
+    """``DIMS``, ``bucket``, ``count``, ``last_rid``, and columns of events in ``by``; untimed events are in bucket 0."""
     at = F.when(F.col("at_ms") > 0, bucket(F.col("at_ms"), width)).otherwise(0)
-    return facts(store).groupBy(*DIMS, at.alias("bucket")).agg(F.count("*").alias("count"), F.max("rid").alias("last_rid"))
+    return facts(store).groupBy(*by, *DIMS, at.alias("bucket")).agg(F.count("*").alias("count"), F.max("rid").alias("last_rid"))
 
 
 def merge(old: DataFrame, new: DataFrame) -> DataFrame:
     """Rollups of two sets of events together."""
-    return old.unionByName(new).groupBy(*DIMS, "bucket").agg(F.sum("count").alias("count"), F.max("last_rid").alias("last_rid"))
+    return summed(old.unionByName(new))
+
+
+def summed(parts: DataFrame) -> DataFrame:
+    """Rollups of all the events that ``parts`` are rollups of."""
+    return parts.groupBy(*DIMS, "bucket").agg(F.sum("count").alias("count"), F.max("last_rid").alias("last_rid"))
 
 
 def answers(scope: Scope, dim: str, width: int = WIDTH) -> bool:

@@ -672,6 +672,14 @@ def test_rules_of_any_size_and_long_tokens_are_mined(spark):
     assert {("a", "b", "c", "d", "e"), (long, "nc"), ("nc", "twin")} <= set(want) and said == [True, False, True, True, False]
 
 
+def test_tokens_of_clashing_marks_are_told_apart(spark, monkeypatch):
+    rng = random.Random(71)
+    rows = [(["x"] * (k < 60) + ["y"] * (k < 15 or 60 <= k < 105) + [rng.choice("pq")], k < 20 or 60 <= k < 65) for k in range(300)]
+    monkeypatch.setattr(urls.F, "xxhash64", lambda *_: F.lit(0).cast("long"))
+    want, said = check_mined(spark, rows, [["x", "y"], ["x"], ["y"]])
+    assert ("x", "y") in want and said == [True, False, False]
+
+
 def test_exact_dedup_tells_rows_without_an_id_apart(spark):
     weak = lambda x: bytes([sum(x) % 3])
     out = exact.deduplicate(docs(spark, ["ab", "ba", "AB", "ab"], [None, None, 4, None]), digest=weak).collect()
